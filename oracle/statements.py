@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle import groups as g
 from oracle import matrices as m
 from oracle.base import (
-    BUCKET, HOURS, PARAMS, PIDS, SCORE, TRAIN, Anchor, log5, num, nums, query, spread, whole,
+    BUCKET, HOURS, PARAMS, PIDS, SCORE, TRAIN, Anchor, comparable, log5, num, query, spread, whole,
 )
 
 SEED = 2017
@@ -13,7 +13,13 @@ SEED = 2017
 
 def rounded(a: Anchor, group: g.Group, tail: str = "", **ctes: str) -> str:
     cols, source = group
-    return query(a, f"select {whole('uid', 'uid')}, {nums(cols)}\nfrom {source} {tail}", **ctes)
+    inner = "select uid, " + ",\n".join(f'cast({e} as double) as "{n}"' for n, e in cols.items())
+    outer = ",\n".join(comparable(n) for n in cols)
+    return query(a, f"select {whole('uid', 'uid')}, {outer}\nfrom ({inner}\nfrom {source} {tail})", **ctes)
+
+
+def _doubles(group: g.Group) -> g.Group:
+    return {n: f"cast({e} as double)" for n, e in group[0].items()}, group[1]
 
 
 def pick(group: g.Group, *names: str) -> g.Group:
@@ -170,7 +176,7 @@ def matrix_queries() -> dict[str, str]:
     full = m.original(TRAIN, True)
     names = sorted(c for c in full[0] if c != "label")
     split = f"""
-        select {whole('uid', 'uid')}, {nums({n: f'"{n}"' for n in names})}, {num('label', 'label')},
+        select {whole('uid', 'uid')}, {', '.join(comparable(n) for n in names)}, {num('label', 'label')},
                {num('coalesce(label2,0)', 'label2')},
                cast(row_number() over (order by {hash_text()}, uid)
                     <= floor(0.2*(select count(*) from full_matrix)) as bigint) as held_out
@@ -185,7 +191,7 @@ def matrix_queries() -> dict[str, str]:
         "q_model2_matrix": rounded(TRAIN, m.model2(TRAIN)),
         "q_cohort_matrix": rounded(TRAIN, m.cohort(TRAIN, True), **cohorts),
         "q_cohort_scoring_matrix": rounded(SCORE, m.cohort(SCORE, False)),
-        "q_split_matrix": query(TRAIN, split, **cohorts, full_matrix=g.select(full)),
+        "q_split_matrix": query(TRAIN, split, **cohorts, full_matrix=g.select(_doubles(full))),
         "q_shape": query(TRAIN, f"select count(*) as \"rows\", {whole(len(m.training(TRAIN)[0]) + 1, 'cols')} "
                                 f"from (select uid from {m.training(TRAIN)[1]})"),
     }
