@@ -32,15 +32,15 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(hash_text(seed), KEY)
 
 
-def with_sample_flag(
-    df: DataFrame,
+def sample_flags(
+    keys: DataFrame,
     seed: int,
     fraction: float | None = None,
     size: int | None = None,
     stratum: str | None = None,
     flag: str = "sampled",
 ) -> DataFrame:
-    """Mark an exact sample without replacement: a fraction or a fixed size per stratum.
+    """Mark an exact sample without replacement among unique keys: a fraction or a size per stratum.
 
     Of each stratum the rows with the smallest hashes are taken. Ranking a stratum
     as a whole would put it into one task, so rows are ranked within hash buckets,
@@ -50,7 +50,7 @@ def with_sample_flag(
     if (fraction is None) == (size is None):
         raise ValueError("give either a fraction or a size")
     bounds = [stratum] if stratum else []
-    hashed = df.withColumns({"_hash": hash_text(seed), "_bucket": hash_number(seed, BUCKET_DIGITS)})
+    hashed = keys.withColumns({"_hash": hash_text(seed), "_bucket": hash_number(seed, BUCKET_DIGITS)})
     totals = hashed.groupBy(*bounds, "_bucket").agg(F.count("*").alias("_n"))
     by_bucket = Window.partitionBy(*bounds or [F.lit(0)])
     if size is not None:
@@ -69,5 +69,5 @@ def with_sample_flag(
         hashed.withColumn("_place", place)
         .join(totals, [*bounds, "_bucket"])
         .withColumn(flag, F.col("_before") + F.col("_place") <= F.col("_quota"))
-        .select(*df.columns, flag)
+        .select(*keys.columns, flag)
     )

@@ -63,7 +63,10 @@ def _levels_by_user(tables: Tables, spec: FeatureSpec) -> DataFrame:
         for k in range(len(_fit_months(spec)))
         for level in LEVELS
     }
-    return summarise(stacked_events(tables, spec), Measures(aggs, outs))
+    levels = summarise(stacked_events(tables, spec), Measures(aggs, outs))
+    # True for every row, as each user here has an event. It keeps all months in the grouping even
+    # where only some are used later, so that the edges and the features share one exchange.
+    return levels.where(F.greatest(*[F.col(n) for n in outs]) >= 0)
 
 
 def _edges(levels: DataFrame, months: int) -> Column:

@@ -241,7 +241,7 @@ def borrowed_labels(t: Tables) -> DataFrame:
 
 def downsampled(t: Tables) -> DataFrame:
     """All borrowers and a fixed number of the others."""
-    flagged = sampling.with_sample_flag(borrowed_labels(t), SEED, size=500, stratum="label")
+    flagged = sampling.sample_flags(borrowed_labels(t), SEED, size=500, stratum="label")
     return flagged.where((F.col("label") == 1) | F.col("sampled")).select(KEY, "label")
 
 
@@ -306,7 +306,7 @@ def predictions_file(t: Tables) -> DataFrame:
 def holdout_file(t: Tables) -> DataFrame:
     spark = t.loan.sparkSession
     path = fresh_path(spark, "holdout")
-    flagged = sampling.with_sample_flag(judged(t), SEED, fraction=0.2)
+    flagged = sampling.sample_flags(judged(t), SEED, fraction=0.2)
     sinks.write_holdout(flagged.where("sampled"), path)
     return sinks.read_holdout(spark, path)
 
@@ -318,6 +318,11 @@ def materialized(t: Tables) -> DataFrame:
     return sinks.materialize(spark, lambda: loan.loan_features(t, TRAIN), path)
 
 
+def split_matrix(t: Tables) -> DataFrame:
+    stored = _stored(original_matrix.original_training_matrix(t, TRAIN), "original-training")
+    return original_matrix.split_matrix(stored, cohorts.cohort_labels(t, TRAIN), SEED)
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 # Few rounds keep the registered queries quick; the settings' own defaults are the full ones.
@@ -488,16 +493,16 @@ def queries() -> dict[str, Query]:
         "q_model2_matrix": lambda t: original_matrix.non_borrower_matrix(t, TRAIN),
         "q_cohort_matrix": lambda t: original_matrix.cohort_training_matrix(t, TRAIN),
         "q_cohort_scoring_matrix": lambda t: original_matrix.cohort_scoring_matrix(t, SCORE),
-        "q_split_matrix": lambda t: original_matrix.split_matrix(t, TRAIN, SEED),
+        "q_split_matrix": split_matrix,
         "q_cohorts": lambda t: cohorts.cohorts(t, TRAIN),
         "q_cohort_labels": lambda t: cohorts.cohort_labels(t, TRAIN),
         "q_new_borrowers_by_month": new_borrowers,
         "q_population_split": lambda t: cohorts.population_split(t, TRAIN, SCORE),
-        "q_cohort_sample": lambda t: sampling.with_sample_flag(
+        "q_cohort_sample": lambda t: sampling.sample_flags(
             cohorts.cohorts(t, TRAIN), SEED, fraction=0.2, stratum="cohort"
         ),
         "q_fold_assignment": lambda t: t.user.select(KEY, sampling.fold_id(SEED).alias("fold")),
-        "q_holdout_split": lambda t: sampling.with_sample_flag(
+        "q_holdout_split": lambda t: sampling.sample_flags(
             t.user.select(KEY), SEED, fraction=0.2, flag="held_out"
         ),
         "q_downsample_negatives": downsampled,

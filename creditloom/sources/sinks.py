@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +22,9 @@ def materialize(spark: SparkSession, make: Callable[[], DataFrame], path: str) -
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        marker = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").select("path")
-        return not marker.isEmpty()
-    except AnalysisException:
-        return False
+    """Whether the writing job committed. Spark's readers hide the marker, so ask the file system."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
