@@ -64,10 +64,10 @@ def outer_merge(sides: dict[str, DataFrame], key: str = KEY, unpack: bool = True
     Columns a side does not have for a key are NULL. With ``unpack=False`` each
     side stays one struct column, NULL where the key is absent.
     """
-    packed = [
-        df.select(key, F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key]).alias(name))
-        for name, df in sides.items()
-    ]
+    packed = []
+    for name, df in sides.items():
+        columns = ", ".join(f"`{c}`" for c in df.columns if c != key)
+        packed.append(df.selectExpr(key, f"struct({columns}) as {name}"))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
     merged = stacked.groupBy(key).agg(*[F.first(name, ignorenulls=True).alias(name) for name in sides])
     return merged.select(key, *[f"{name}.*" for name in sides]) if unpack else merged

@@ -7,60 +7,53 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.clock import BUCKET_NAMES
 from creditloom.functions.money import encode
-from creditloom.functions.rowwise import spread, zero
+from creditloom.functions.rowwise import spread
 from creditloom.operators.fused import KEY, Measures
 from creditloom.spec import FeatureSpec
 
 
-def month_sums(value: Column, tag: str, spec: FeatureSpec) -> Measures:
-    """Per observation month: the sum of ``value`` and the number of events."""
+def month_sums(value: str, tag: str, spec: FeatureSpec) -> Measures:
+    """Per observation month: the sum of ``value`` (SQL text) and the number of events."""
     aggs = {}
     for k in spec.slots:
-        here = F.col("slot") == k
-        aggs[f"_{tag}_m{k}"] = F.sum(F.when(here, value))
-        aggs[f"_n_m{k}"] = F.count(F.when(here, 1))
+        aggs[f"_{tag}_m{k}"] = F.expr(f"sum(if(slot = {k}, {value}, null))")
+        aggs[f"_n_m{k}"] = F.expr(f"count_if(slot = {k})")
     return Measures(aggs)
 
 
 def present_months(tag: str, spec: FeatureSpec) -> list[Column]:
     """Monthly sums, NULL for months without any event."""
-    return [F.when(F.col(f"_n_m{k}") > 0, zero(F.col(f"_{tag}_m{k}"))) for k in spec.slots]
+    return [F.expr(f"if(_n_m{k} > 0, coalesce(_{tag}_m{k}, 0D), null)") for k in spec.slots]
 
 
 def filled_months(tag: str, spec: FeatureSpec) -> list[Column]:
     """Monthly sums, 0 for months without any event."""
-    return [zero(F.col(f"_{tag}_m{k}")) for k in spec.slots]
+    return [F.expr(f"coalesce(_{tag}_m{k}, 0D)") for k in spec.slots]
 
 
-def hour_counts(value: Column) -> Measures:
+def hour_counts(value: str) -> Measures:
     """Number of non-null values per four-hour bucket."""
-    return Measures(
-        {f"_h_{b}": F.count(F.when(F.col("bucket") == b, value)) for b in BUCKET_NAMES}
-    )
+    return Measures({f"_h_{b}": F.expr(f"count(if(bucket = '{b}', {value}, null))") for b in BUCKET_NAMES})
 
 
-def cumulative_periods(value: Column, prefix: str, spec: FeatureSpec) -> Measures:
+def cumulative_periods(value: str, prefix: str, spec: FeatureSpec) -> Measures:
     """Encoded sums over the last D days, for every period D: one grouping, not one per period."""
-    days = F.col("days")
-    aggs = {f"_{prefix}_p{d}": F.sum(F.when(days <= d, value)) for d in spec.periods}
-    outs = {f"{prefix}_{d}": encode(zero(F.col(f"_{prefix}_p{d}"))) for d in spec.periods}
+    aggs = {f"_{prefix}_p{d}": F.expr(f"sum(if(days <= {d}, {value}, null))") for d in spec.periods}
+    outs = {f"{prefix}_{d}": encode(F.expr(f"coalesce(_{prefix}_p{d}, 0D)")) for d in spec.periods}
     return Measures(aggs, outs)
 
 
-def week_sums(value: Column, tag: str, spec: FeatureSpec) -> Measures:
+def week_sums(value: str, tag: str, spec: FeatureSpec) -> Measures:
     """Sums over the disjoint weeks before the anchor. The first one is open towards day 0."""
-    aggs, previous = {}, None
+    aggs, inside = {}, ""
     for k, end in enumerate(spec.week_ends, start=1):
-        inside = F.col("days") <= end
-        if previous is not None:
-            inside = inside & (F.col("days") > previous)
-        aggs[f"_{tag}_w{k}"] = F.sum(F.when(inside, value))
-        previous = end
+        aggs[f"_{tag}_w{k}"] = F.expr(f"sum(if({inside}days <= {end}, {value}, null))")
+        inside = f"days > {end} and "
     return Measures(aggs)
 
 
 def filled_weeks(tag: str, spec: FeatureSpec) -> list[Column]:
-    return [zero(F.col(f"_{tag}_w{k}")) for k in range(1, len(spec.week_ends) + 1)]
+    return [F.expr(f"coalesce(_{tag}_w{k}, 0D)") for k in range(1, len(spec.week_ends) + 1)]
 
 
 def week_spread(tag: str, prefix: str, spec: FeatureSpec) -> dict[str, Column]:

@@ -34,7 +34,7 @@ def value_shares(spec: FeatureSpec) -> Measures:
 
 def month_stats(spec: FeatureSpec) -> Measures:
     stats = present_stats(present_months("clicks", spec))
-    return month_sums(F.lit(1.0), "clicks", spec) | {f"click_{s}": stats[s] for s in STATS}
+    return month_sums("1D", "clicks", spec) | {f"click_{s}": stats[s] for s in STATS}
 
 
 def click_measures(spec: FeatureSpec) -> list[Measures]:
@@ -42,7 +42,7 @@ def click_measures(spec: FeatureSpec) -> list[Measures]:
         weights(),
         value_shares(spec),
         month_stats(spec),
-        hour_shares("click", F.col("click_time")),
+        hour_shares("click", "click_time"),
         gap_measures("click", spec, per_event=False),
     ]
 

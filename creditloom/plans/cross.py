@@ -128,7 +128,7 @@ def union_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
 
 def _months_and_weeks(tables: Tables, spec: FeatureSpec) -> DataFrame:
     """Monthly and weekly sums of the three tables, one struct per table, NULL where a user has no events."""
-    value = {"loan": F.col("amount"), "paid": F.col("paid"), "clicks": F.lit(1.0)}
+    value = {"loan": "amount", "paid": "paid", "clicks": "1D"}
     events = {
         "loan": loan_events(tables, spec),
         "paid": order_events(tables, spec, filled=False),

@@ -55,7 +55,7 @@ def active_months(spec: FeatureSpec) -> Measures:
         return indicator(met)
 
     outs = {"loan_times_months": months, **{set_name(ks): all_of(ks) for ks in month_sets(spec)}}
-    return month_sums(F.col("amount"), "amt", spec) | outs
+    return month_sums("amount", "amt", spec) | outs
 
 
 def ratios(spec: FeatureSpec) -> dict[str, Column]:
@@ -69,7 +69,7 @@ def ratios(spec: FeatureSpec) -> dict[str, Column]:
 def month_stats(spec: FeatureSpec) -> Measures:
     stats = present_stats(present_months("amt", spec))
     outs = {f"loan_{s}": stats[s] for s in ("min", "mean", "median", "max", "std")}
-    return month_sums(F.col("amount"), "amt", spec) | outs
+    return month_sums("amount", "amt", spec) | outs
 
 
 def plannum_counts(spec: FeatureSpec) -> Measures:
@@ -86,14 +86,14 @@ def plannum_shares(spec: FeatureSpec) -> Measures:
     }
 
 
-def hour_shares(action: str, value: Column) -> Measures:
+def hour_shares(action: str, value: str) -> Measures:
     counts = {f"{action}_hours_{b}": F.col(f"_h_{b}") for b in BUCKET_NAMES}
     return hour_counts(value) | shares(counts)
 
 
 def user_dependent(spec: FeatureSpec) -> Measures:
     """Aggregates kept for the columns that also need the user's row."""
-    months = month_sums(F.col("amount"), "amt", spec)
+    months = month_sums("amount", "amt", spec)
     aggs = {**months.aggs, "_w_max": F.max("weeks"), "_largest": F.max("amount")}
     outs = {f"_month_{k}": zero(F.col(f"_amt_m{k}")) for k in spec.slots}
     return Measures(aggs, {**outs, "_w_max": F.col("_w_max"), "_largest": F.col("_largest")})
@@ -119,7 +119,7 @@ def loan_measures(spec: FeatureSpec) -> list[Measures]:
         Measures({}, ratios(spec)),
         month_stats(spec),
         plannum_shares(spec),
-        hour_shares("loan", F.col("amount")),
+        hour_shares("loan", "amount"),
         gap_measures("loan", spec, per_event=True),
         user_dependent(spec),
     ]

@@ -37,7 +37,7 @@ def totals() -> Measures:
 
 def month_stats(spec: FeatureSpec) -> Measures:
     stats = present_stats(present_months("paid", spec))
-    return month_sums(F.col("paid"), "paid", spec) | {f"price_{s}": stats[s] for s in STATS}
+    return month_sums("paid", "paid", spec) | {f"price_{s}": stats[s] for s in STATS}
 
 
 def order_measures(spec: FeatureSpec) -> list[Measures]:

@@ -27,11 +27,11 @@ def decayed_values(spec: FeatureSpec) -> Measures:
 def month_spread(spec: FeatureSpec) -> Measures:
     stats = spread("click", filled_months("clicks", spec))
     order = ("min", "max", "mean", "sum", "std")
-    return month_sums(F.lit(1.0), "clicks", spec) | {f"click_{s}": stats[f"click_{s}"] for s in order}
+    return month_sums("1D", "clicks", spec) | {f"click_{s}": stats[f"click_{s}"] for s in order}
 
 
 def hours() -> Measures:
-    return hour_counts(F.col("click_time")) | {
+    return hour_counts("click_time") | {
         f"click_hours_{b}": encode(F.col(f"_h_{b}")) for b in BUCKET_NAMES
     }
 
@@ -41,7 +41,7 @@ def click_measures(spec: FeatureSpec) -> list[Measures]:
 
 
 def period_measures(spec: FeatureSpec) -> list[Measures]:
-    return [cumulative_periods(F.lit(1.0), "click", spec)]
+    return [cumulative_periods("1D", "click", spec)]
 
 
 def weighted_clicks(tables: Tables, spec: FeatureSpec) -> DataFrame:

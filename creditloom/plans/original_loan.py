@@ -45,7 +45,7 @@ def loan_counts(spec: FeatureSpec) -> Measures:
     for months in month_sets(spec):
         hit = total([count[k] for k in months]) == len(months)
         outs[set_name(months)] = F.when(hit, 1.0).otherwise(0.0)
-    return month_sums(F.col("amount"), "amt", spec) | outs
+    return month_sums("amount", "amt", spec) | outs
 
 
 def ratios(spec: FeatureSpec) -> dict[str, Column]:
@@ -57,7 +57,7 @@ def ratios(spec: FeatureSpec) -> dict[str, Column]:
 
 
 def month_spread(spec: FeatureSpec) -> Measures:
-    return month_sums(F.col("amount"), "amt", spec) | spread("loan", filled_months("amt", spec))
+    return month_sums("amount", "amt", spec) | spread("loan", filled_months("amt", spec))
 
 
 def plannum_spread(spec: FeatureSpec) -> Measures:
@@ -66,7 +66,7 @@ def plannum_spread(spec: FeatureSpec) -> Measures:
 
 
 def hours() -> Measures:
-    return hour_counts(F.col("amount")) | {
+    return hour_counts("amount") | {
         f"loan_hours_{b}": F.col(f"_h_{b}").cast("double") for b in BUCKET_NAMES
     }
 
@@ -104,7 +104,7 @@ def original_loan_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
 
 def period_measures(spec: FeatureSpec) -> list[Measures]:
     """Sums over cumulative periods and disjoint weeks, of whole money units."""
-    amount = F.rint(F.col("amount"))
+    amount = "rint(amount)"
     weeks = week_sums(amount, "loan", spec)
     named = {f"loan_filter_week{k}": c for k, c in enumerate(filled_weeks("loan", spec), start=1)}
     return [

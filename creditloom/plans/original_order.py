@@ -28,7 +28,7 @@ def totals(spec: FeatureSpec) -> Measures:
 
 
 def month_spread(spec: FeatureSpec) -> Measures:
-    return month_sums(F.col("paid"), "paid", spec) | spread("buy", filled_months("paid", spec))
+    return month_sums("paid", "paid", spec) | spread("buy", filled_months("paid", spec))
 
 
 def order_measures(spec: FeatureSpec) -> list[Measures]:
@@ -36,7 +36,7 @@ def order_measures(spec: FeatureSpec) -> list[Measures]:
 
 
 def period_measures(spec: FeatureSpec) -> list[Measures]:
-    return [cumulative_periods(F.col("paid"), "order", spec)]
+    return [cumulative_periods("paid", "order", spec)]
 
 
 def original_order_features(tables: Tables, spec: FeatureSpec) -> DataFrame:

@@ -16,7 +16,7 @@ from creditloom.plans import original_order, user
 from creditloom.plans.events import click_events, loan_events, order_events, priced
 from creditloom.session import fresh_path
 from creditloom.sources import sinks
-from creditloom.sources.retimed import open_tables
+from creditloom.sources.retimed import open_tables, scan
 from creditloom.sources.tables import LOAN, Tables, read_table
 from creditloom.spec import SCORE, TRAIN, FeatureSpec
 
@@ -25,31 +25,31 @@ SEED = 2017
 AMOUNT_BAND = (499.0, 90000.0)  # fixed values: the optional band on loan amounts
 
 
-def _comparable(name: str) -> Column:
+def _comparable(name: str) -> str:
     """Four decimals; coarser for large values where a sum or product of doubles has no more to give.
 
     Means of whole numbers often end in exactly one half, so large values are nudged off the tie.
     """
     x = f"`{name}`"
     if name == "loan_weights" or name.startswith(("week_", "interactive_")):
-        return F.expr(
+        return (
             f"case when abs({x}) < 1e8 then round({x}, 4) when abs({x}) < 1e11 then round({x} + 0.03D, 0) "
             f"else round({x} + 0.03D, -3) end"
         )
-    return F.round(F.col(x), 4)
+    return f"round({x}, 4)"
 
 
 def presented(df: DataFrame) -> DataFrame:
     """Results in comparable form: rounded doubles, whole numbers as bigint."""
     cols = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
+        x = f"`{name}`"
         if kind == "double":
-            c = _comparable(name)
+            x = _comparable(name)
         elif kind in ("int", "smallint", "tinyint", "boolean"):
-            c = c.cast("bigint")
-        cols.append(c.alias(name))
-    return df.select(*cols)
+            x = f"cast({x} as bigint)"
+        cols.append(f"{x} as `{name}`")
+    return df.selectExpr(*cols)
 
 
 def _on_tables(make: Callable[[Tables], DataFrame]) -> Query:
@@ -60,23 +60,19 @@ def _at(time: str = "loan_time") -> Column:
     return F.unix_timestamp(time).alias("at")
 
 
-def _rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 # ---- projections and filters -----------------------------------------------------------------
 
 
 def decoded(f: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = _rows(spark, sf_dir, "events")
+        events = scan(spark, sf_dir, "events")
         return presented(events.select("event_id", f(F.col("value") / 150).alias("money")))
 
     return run
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _rows(spark, sf_dir, "orders")
+    orders = scan(spark, sf_dir, "orders")
     return presented(orders.select("o_orderkey", money.encode("o_totalprice").alias("stored")))
 
 
@@ -221,7 +217,7 @@ def loan_ratios(s: FeatureSpec) -> Measures:
 
 
 def loan_periods(s: FeatureSpec) -> Measures:
-    return windows.cumulative_periods(F.col("amount"), "loan", s)
+    return windows.cumulative_periods("amount", "loan", s)
 
 
 def new_borrowers(t: Tables) -> DataFrame:
@@ -441,8 +437,8 @@ def queries() -> dict[str, Query]:
         "q_click_month_stats": _click_part(click.month_stats),
         "q_order_month_stats": lambda t: summarise(order_events(t, TRAIN), order.month_stats(TRAIN)).fillna(0.0),
         "q_month_stats_zero_filled": zero_filled_month_stats,
-        "q_loan_hour_share": _loan_part(lambda s: loan.hour_shares("loan", F.col("amount"))),
-        "q_click_hour_share": _click_part(lambda s: loan.hour_shares("click", F.col("click_time"))),
+        "q_loan_hour_share": _loan_part(lambda s: loan.hour_shares("loan", "amount")),
+        "q_click_hour_share": _click_part(lambda s: loan.hour_shares("click", "click_time")),
         "q_plannum_share": _loan_part(loan.plannum_shares),
         "q_loan_recency_gap": _loan_part(lambda s: recency.gap_measures("loan", s, per_event=True)),
         "q_click_recency_gap": _click_part(lambda s: recency.gap_measures("click", s, per_event=False)),

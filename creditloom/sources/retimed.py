@@ -22,6 +22,21 @@ ORDER_SQUEEZE = 20
 EVENT_STRETCH = 4
 
 
+# The columns used of each table; a stated schema spares a job that would read it off a file.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _squeezed(col: str) -> F.Column:
     return F.timestamp_seconds(
         F.lit(WINDOW_EPOCH) + F.expr(f"(unix_timestamp({col}) - {ORDER_EPOCH}) div {ORDER_SQUEEZE}")
@@ -91,15 +106,12 @@ def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The five inputs on top of the Parquet tables in ``sf_dir``."""
     use_utc(spark)
 
-    def scan(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    orders = scan("orders")
+    orders = scan(spark, sf_dir, "orders")
     loan = loans(orders)
     return Tables(
-        user=users(scan("customer")),
+        user=users(scan(spark, sf_dir, "customer")),
         loan=loan,
-        click=clicks(scan("events")),
-        order=purchases(scan("lineitem"), orders),
+        click=clicks(scan(spark, sf_dir, "events")),
+        order=purchases(scan(spark, sf_dir, "lineitem"), orders),
         loan_sum=loan_sums(loan),
     )
