@@ -18,6 +18,9 @@ def build_session(app: str = "creditloom", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Rows of 200 columns are normal here; at the default of 100 code generation would be off. Much
+        # wider ones would exceed the size of a Java method and are better left to the interpreter.
+        .config("spark.sql.codegen.maxFields", "240")
         # Wide matrices are thousands of expressions; recording a call site for each is slow.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
