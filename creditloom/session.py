@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,14 +38,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and stored stages.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
-    executors share the driver's disk, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, stages go beside the tables, below
+    the warehouse directory, which is shared as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="creditloom-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
         spark.conf.set("spark.checkpoint.dir", named)
     # spark.checkpoint.dir is read at context start; a later value has to be handed over.
     if not spark.sparkContext.getCheckpointDir():
