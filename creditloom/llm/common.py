@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Workers import this package. On a cluster it is installed or shipped; else it is where the driver has it.
+    home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

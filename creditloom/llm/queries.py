@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from creditloom.llm.common import read
 from creditloom.llm.exact_dedup import exact_duplicates
-from creditloom.llm.packing import pack_documents
+from creditloom.llm.language_model import perplexities
+from creditloom.llm.mixing import mixing_rates
+from creditloom.llm.private_data import private_data
+from creditloom.llm.quality_rules import judged
+from creditloom.llm.secrets import secrets
 from creditloom.llm.simhash import near_duplicates
 from creditloom.llm.token_counts import token_counts
+from creditloom.llm.url_rules import judged_urls
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,30 +31,53 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data(read(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents")).select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "loss_tokens",
-    )
+    return corpus_pipeline.packed_pieces(read(spark, sf_dir, "documents"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexities(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_counts, op3_exact_dedup, op5_simhash, op8_packing)
-    return {query.__name__: query for query in found}
+    found = (
+        op1_url_rules,
+        op2_token_counts,
+        op3_exact_dedup,
+        op4_mixing,
+        op5_simhash,
+        op6_private_data,
+        op7_quality_rules,
+        op8_packing,
+        op9_language_model,
+        op10_secrets,
+    )
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP}
+    known = {"op3_exact_dedup": EXACT_DEDUP, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql}
 
 
 EXACT_DEDUP = r"""
