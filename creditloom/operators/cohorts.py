@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.functions.clock import between
@@ -48,17 +48,22 @@ def cohort_labels(tables: Tables, spec: FeatureSpec) -> DataFrame:
     )
 
 
+def _position(time: str, spec: FeatureSpec) -> Column:
+    months = F.year(time) * 12 + F.month(time)
+    return (months - (spec.start.year * 12 + spec.start.month) + 1).cast("bigint")
+
+
 def first_month(tables: Tables, spec: FeatureSpec) -> DataFrame:
-    """Month of the first loan of every borrower, counted from the window start.
+    """Month of the first loan of every borrower, by its position from the window start, from 1.
 
-    A user is a new borrower of exactly this month.
+    A user is a new borrower of exactly this month. The target month follows the last observed one.
     """
     t = F.col("loan_time")
     return (
         tables.loan.where(between(t, spec.start, spec.target_end))
         .groupBy(KEY)
         .agg(F.min(t).alias("_t"))
-        .select(KEY, F.month("_t").cast("bigint").alias("first_month"))
+        .select(KEY, _position("_t", spec).alias("first_month"))
     )
 
 

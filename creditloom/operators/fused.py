@@ -35,10 +35,18 @@ class Measures:
     outs: dict[str, Column] = field(default_factory=dict)
 
     def __add__(self, other: Measures) -> Measures:
-        return Measures({**self.aggs, **other.aggs}, {**self.outs, **other.outs})
+        return Measures(joined(self.aggs, other.aggs), joined(self.outs, other.outs))
 
     def __or__(self, outs: dict[str, Column]) -> Measures:
-        return Measures(self.aggs, {**self.outs, **outs})
+        return Measures(self.aggs, joined(self.outs, outs))
+
+
+def joined(some: dict[str, Column], more: dict[str, Column]) -> dict[str, Column]:
+    """Named expressions together. A name may come twice only for the same expression."""
+    clashes = [n for n in some.keys() & more.keys() if str(some[n]) != str(more[n])]
+    if clashes:
+        raise ValueError(f"different expressions under one name: {sorted(clashes)}")
+    return {**some, **more}
 
 
 def aggregate(events: DataFrame, measures: Measures, *keys: str) -> DataFrame:

@@ -23,6 +23,11 @@ PRODUCT_SETS = {"lo": ("loan", "paid"), "co": ("clicks", "paid"), "lc": ("loan",
 SLOT_NAMES = ("first", "two", "three")
 
 
+def slot_name(slot: int) -> str:
+    """Name of an observation month by its position; longer windows go on by number."""
+    return SLOT_NAMES[slot - 1] if slot <= len(SLOT_NAMES) else f"month_{slot}"
+
+
 def _fit_months(spec: FeatureSpec) -> list:
     start, end = spec.fit_range
     months = []
@@ -117,11 +122,14 @@ def union_codes(tables: Tables, spec: FeatureSpec) -> DataFrame:
 def union_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
     """Sums of the codes of table pairs and triples in each observation month."""
     fit = _fit_months(spec)
+    missing = [str(spec.month_starts[slot - 1]) for slot in spec.slots if spec.month_starts[slot - 1] not in fit]
+    if missing:
+        raise ValueError(f"the fit range does not cover the observed months {missing}")
     outs: dict[str, Column] = {}
-    for slot, month in zip(SLOT_NAMES, spec.month_starts):
-        k = fit.index(month)
+    for slot in spec.slots:
+        k = fit.index(spec.month_starts[slot - 1])
         for name, levels in UNION_SETS.items():
-            outs[f"{name}_{slot}"] = total([zero(F.col(f"{level}_{k}")) for level in levels])
+            outs[f"{name}_{slot_name(slot)}"] = total([zero(F.col(f"{level}_{k}")) for level in levels])
     sums = user_codes(tables, spec).select(KEY, *[c.alias(n) for n, c in outs.items()])
     return sums.select("*", *[c.alias(n) for n, c in spread("union", [F.col(n) for n in outs]).items()])
 

@@ -25,27 +25,16 @@ SEED = 2017
 AMOUNT_BAND = (499.0, 90000.0)  # fixed values: the optional band on loan amounts
 
 
-def _comparable(name: str) -> str:
-    """Four decimals; coarser for large values where a sum or product of doubles has no more to give.
+def presented(df: DataFrame) -> DataFrame:
+    """Results in comparable form: doubles at four decimals and single precision, whole numbers as bigint.
 
-    Means of whole numbers often end in exactly one half, so large values are nudged off the tie.
+    Sums of doubles differ in their last digits by the order they are added in; single precision leaves those out.
     """
-    x = f"`{name}`"
-    if name == "loan_weights" or name.startswith(("week_", "interactive_")):
-        return (
-            f"case when abs({x}) < 1e8 then round({x}, 4) when abs({x}) < 1e11 then round({x} + 0.03D, 0) "
-            f"else round({x} + 0.03D, -3) end"
-        )
-    return f"round({x}, 4)"
-
-
-def presented(df: DataFrame) -> DataFrame:
-    """Results in comparable form: rounded doubles, whole numbers as bigint."""
     cols = []
     for name, kind in df.dtypes:
         x = f"`{name}`"
         if kind == "double":
-            x = _comparable(name)
+            x = f"cast(cast(round({x}, 4) as float) as double)"
         elif kind in ("int", "smallint", "tinyint", "boolean"):
             x = f"cast({x} as bigint)"
         cols.append(f"{x} as `{name}`")
@@ -223,7 +212,7 @@ def loan_periods(s: FeatureSpec) -> Measures:
 def new_borrowers(t: Tables) -> DataFrame:
     """Borrowers whose first loan falls in the second or a later month."""
     first = cohorts.first_month(t, TRAIN)
-    return first.where(F.col("first_month") > TRAIN.start.month)
+    return first.where(F.col("first_month") > 1)
 
 
 # ---- samples, profiles, files ----------------------------------------------------------------
@@ -237,7 +226,7 @@ def borrowed_labels(t: Tables) -> DataFrame:
 
 def downsampled(t: Tables) -> DataFrame:
     """All borrowers and a fixed number of the others."""
-    flagged = sampling.sample_flags(borrowed_labels(t), SEED, size=500, stratum="label")
+    flagged = sampling.sample_flags(borrowed_labels(t), SEED, size=50, stratum="label")
     return flagged.where((F.col("label") == 1) | F.col("sampled")).select(KEY, "label")
 
 
@@ -260,7 +249,7 @@ def judged_classes(t: Tables) -> DataFrame:
 
 
 def adjusted_predictions(t: Tables) -> DataFrame:
-    limits = t.user.where(F.col("sex") == 1).select(KEY, (F.col("limit") * 0.8).alias("cap"))
+    limits = t.user.select(KEY, (F.col("limit") * 0.8).alias("cap"))
     shifted = F.col("pred") - 4
     return rule_prediction(t).join(limits, KEY, "left").select(
         KEY,
@@ -396,7 +385,7 @@ def two_models(t: Tables) -> DataFrame:
         return cohorts.among(df, split.where(F.col(flag) == model))
 
     def pair(make, spec, flag: str, model: int) -> DataFrame:
-        return population(make(t, spec), flag, model)
+        return population(make(t, spec, label=flag == "train_model"), flag, model)
 
     train1 = _stored(pair(original_matrix.borrower_matrix, TRAIN, "train_model", 1), "model1")
     train2 = _stored(pair(original_matrix.non_borrower_matrix, TRAIN, "train_model", 2), "model2")
@@ -487,6 +476,8 @@ def queries() -> dict[str, Query]:
         "q_v1_scoring_matrix": lambda t: original_matrix.original_scoring_matrix(t, SCORE),
         "q_model1_matrix": lambda t: original_matrix.borrower_matrix(t, TRAIN),
         "q_model2_matrix": lambda t: original_matrix.non_borrower_matrix(t, TRAIN),
+        "q_model1_scoring_matrix": lambda t: original_matrix.borrower_matrix(t, SCORE, label=False),
+        "q_model2_scoring_matrix": lambda t: original_matrix.non_borrower_matrix(t, SCORE, label=False),
         "q_cohort_matrix": lambda t: original_matrix.cohort_training_matrix(t, TRAIN),
         "q_cohort_scoring_matrix": lambda t: original_matrix.cohort_scoring_matrix(t, SCORE),
         "q_split_matrix": split_matrix,
@@ -497,6 +488,7 @@ def queries() -> dict[str, Query]:
         "q_cohort_sample": lambda t: sampling.sample_flags(
             cohorts.cohorts(t, TRAIN), SEED, fraction=0.2, stratum="cohort"
         ),
+        "q_shuffled": lambda t: sampling.shuffled(t.user.select(KEY, "age"), SEED),
         "q_fold_assignment": lambda t: t.user.select(KEY, sampling.fold_id(SEED).alias("fold")),
         "q_holdout_split": lambda t: sampling.sample_flags(
             t.user.select(KEY), SEED, fraction=0.2, flag="held_out"

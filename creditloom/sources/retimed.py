@@ -18,7 +18,7 @@ from creditloom.sources.tables import Tables
 WINDOW_EPOCH = 1470009600
 ORDER_EPOCH = 788918400
 EVENT_EPOCH = 1704067200
-ORDER_SQUEEZE = 20
+ORDER_SQUEEZE = 5
 EVENT_STRETCH = 4
 
 

@@ -24,7 +24,6 @@ class FeatureSpec:
     n_months: int = 3
 
     # Window edges, periods and vocabularies the features are named after.
-    window_weeks: int = 13
     day_edges: tuple[int, ...] = (0, 3, 7, 14, 21, 28, 35, 42, 49, 56, 63, 70, 77, 84)
     periods: tuple[int, ...] = (1, 2, 3, 5, 7, 9, 15, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90)
     week_ends: tuple[int, ...] = (7, 14, 21, 28)
@@ -44,6 +43,9 @@ class FeatureSpec:
     # Optional loan amount band (low, high]; off by default.
     amount_band: tuple[float, float] | None = None
 
+    # Whole weeks of the window; by default as many as fit into it.
+    weeks: int | None = None
+
     # Range of whole months over which the equal-width code edges are fitted.
     fit_from: date | None = None
     fit_to: date | None = None
@@ -60,6 +62,10 @@ class FeatureSpec:
     def start(self) -> date:
         return add_months(self.anchor, -self.n_months)
 
+    @property
+    def window_weeks(self) -> int:
+        return (self.anchor - self.start).days // 7 if self.weeks is None else self.weeks
+
     @property
     def month_starts(self) -> list[date]:
         """Start of each observation month, followed by the anchor."""

@@ -12,7 +12,7 @@ INPUTS = {
         from customer""",
     "v_loan": """
         select o_custkey uid,
-               make_timestamp(1000000*(1470009600 + (cast(epoch(o_orderdate) as bigint) - 788918400)//20)) loan_time,
+               make_timestamp(1000000*(1470009600 + (cast(epoch(o_orderdate) as bigint) - 788918400)//5)) loan_time,
                ln(floor(o_totalprice)+1)/ln(5) loan_amount,
                case substr(o_orderpriority,1,1) when '2' then 3 when '3' then 6 when '4' then 12 else 1 end plannum
         from orders""",
@@ -25,7 +25,7 @@ INPUTS = {
         from events""",
     "v_order": """
         select o_custkey uid,
-               cast(make_timestamp(1000000*(1470009600 + (cast(epoch(l_shipdate) as bigint) - 788918400)//20)) as date)
+               cast(make_timestamp(1000000*(1470009600 + (cast(epoch(l_shipdate) as bigint) - 788918400)//5)) as date)
                  buy_time,
                ln(floor(l_extendedprice/l_quantity)+1)/ln(5) price, cast(l_quantity as int) qty,
                case when l_linenumber=7 then null else ln(floor(l_extendedprice*l_discount*12)+1)/ln(5) end discount
@@ -114,17 +114,13 @@ def query(a: Anchor, body: str, **more: str) -> str:
 
 
 def num(expr: str, name: str) -> str:
-    """A double at four decimals; adding 0 turns a negative zero into a plain one."""
-    return f'round(cast({expr} as double),4)+0.0 as "{name}"'
+    """A double at four decimals and single precision; adding 0 turns a negative zero into a plain one."""
+    return f'cast(cast(round(cast({expr} as double),4) as float) as double)+0.0 as "{name}"'
 
 
 def comparable(name: str) -> str:
-    """A double column at four decimals, or coarser where large sums and products have no more to give."""
-    x = f'"{name}"'
-    if name == "loan_weights" or name.startswith(("week_", "interactive_")):
-        return (f"case when abs({x}) < 1e8 then round({x},4) when abs({x}) < 1e11 then round({x}+0.03,0) "
-                f"else round({x}+0.03,-3) end + 0.0 as {x}")
-    return f"round({x},4)+0.0 as {x}"
+    """A double column the same way."""
+    return num(f'"{name}"', name)
 
 
 def nums(exprs: dict[str, str]) -> str:

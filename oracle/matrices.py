@@ -12,7 +12,7 @@ LOG_FULL = [
 ]
 LOG_NO_LOAN = [
     "cost_weight", "real_price", "buy_weights", "click_weights", "click_min", "click_max", "click_mean",
-    "click_sum", "click_std", "limit", "buy_min", "buy_mean", "buy_max", "buy_sum", "buy_std",
+    "click_sum", "click_std", "buy_min", "buy_mean", "buy_max", "buy_sum", "buy_std",
 ]
 LOG_COHORT = ["cost_weight", "real_price", "click_weights"]
 
@@ -57,15 +57,16 @@ def original(a: Anchor, label: bool) -> g.Group:
     return _loan_side(a, before, after + ([g.label(a)] if label else []), LOG_FULL)
 
 
-def model1(a: Anchor) -> g.Group:
+def model1(a: Anchor, label: bool = True) -> g.Group:
     before = [g.original_user(a), g.original_order(a), g.original_order_periods(a), g.original_loan(a),
               g.original_loan_periods(a)]
-    return _loan_side(a, before, [g.original_click(a), g.original_click_periods(a), g.label(a)], LOG_FULL)
+    return _loan_side(a, before, [g.original_click(a), g.original_click_periods(a), *([g.label(a)] if label else [])],
+                      LOG_FULL)
 
 
-def model2(a: Anchor) -> g.Group:
+def model2(a: Anchor, label: bool = True) -> g.Group:
     parts = [g.original_user(a), g.original_order(a), g.original_order_periods(a), g.original_click(a),
-             g.original_click_periods(a), g.union(a), g.label(a)]
+             g.original_click_periods(a), g.union(a), *([g.label(a)] if label else [])]
     return logged(outer(parts), LOG_NO_LOAN)
 
 

@@ -86,8 +86,8 @@ def scalar_queries() -> dict[str, str]:
             'borrower')} from v_user"""),
         "q_union_all_months": query(TRAIN, f"""
             select uid, {whole(AT, 'at')}, {whole('mon', 'month')}, {num('due', 'due')} from ln where mon = 8
-            union all select uid, {AT}, mon, round(due,4) from ln where mon = 9
-            union all select uid, {AT}, mon, round(due,4) from ln where mon = 10"""),
+            union all select uid, {AT}, mon, cast(cast(round(due,4) as float) as double)+0.0 from ln where mon = 9
+            union all select uid, {AT}, mon, cast(cast(round(due,4) as float) as double)+0.0 from ln where mon = 10"""),
     }
 
 
@@ -189,6 +189,8 @@ def matrix_queries() -> dict[str, str]:
         "q_v1_scoring_matrix": rounded(SCORE, m.original(SCORE, False)),
         "q_model1_matrix": rounded(TRAIN, m.model1(TRAIN)),
         "q_model2_matrix": rounded(TRAIN, m.model2(TRAIN)),
+        "q_model1_scoring_matrix": rounded(SCORE, m.model1(SCORE, False)),
+        "q_model2_scoring_matrix": rounded(SCORE, m.model2(SCORE, False)),
         "q_cohort_matrix": rounded(TRAIN, m.cohort(TRAIN, True), **cohorts),
         "q_cohort_scoring_matrix": rounded(SCORE, m.cohort(SCORE, False)),
         "q_split_matrix": query(TRAIN, split, **cohorts, full_matrix=g.select(_doubles(full))),
@@ -205,9 +207,9 @@ def cohort_queries() -> dict[str, str]:
         "q_cohorts": query(TRAIN, f"select uid, {whole('cohort', 'cohort')} from cohorts", **ctes),
         "q_cohort_labels": query(TRAIN, f"select uid, {num('cohort', 'label2')} from cohorts where cohort>0", **ctes),
         "q_new_borrowers_by_month": query(TRAIN, f"""
-            select uid, {whole('min(month(loan_time))', 'first_month')} from v_loan
+            select uid, {whole("date_diff('month', date '2016-08-01', min(loan_time)) + 1", 'first_month')} from v_loan
             where loan_time >= timestamp '2016-08-01' and loan_time < timestamp '2016-12-01' group by uid
-            having min(month(loan_time)) > 8"""),
+            having min(loan_time) >= timestamp '2016-09-01'"""),
         "q_population_split": query(TRAIN, f"""
             select u.uid, {whole('case when t.uid is not null then 1 else 2 end', 'train_model')},
                    {whole('case when s.uid is not null then 1 else 2 end', 'submit_model')}
@@ -216,6 +218,7 @@ def cohort_queries() -> dict[str, str]:
             select uid, {whole('cohort', 'cohort')},
                    cast(row_number() over (partition by cohort order by {hash_text()}, uid)
                      <= floor(0.2*count(*) over (partition by cohort)) as bigint) as sampled from cohorts""", **ctes),
+        "q_shuffled": query(TRAIN, "select uid, age from v_user"),
         "q_fold_assignment": query(TRAIN, f"select uid, {whole(fold(), 'fold')} from v_user"),
         "q_holdout_split": query(TRAIN, f"""
             select uid, cast(row_number() over (order by {hash_text()}, uid)
@@ -224,7 +227,7 @@ def cohort_queries() -> dict[str, str]:
         "q_downsample_negatives": query(TRAIN, f"""
             select uid, {num('label', 'label')} from (
               select *, row_number() over (partition by label order by {hash_text()}, uid) r from y)
-            where label=1 or r <= 500""",
+            where label=1 or r <= 50""",
             y="select u.uid, case when coalesce(loan_sum,0)<>0 then 1 else 0 end label from v_user u "
               "left join v_loan_sum s using (uid)"),
         "q_value_counts": query(TRAIN, "select cohort, count(*) as n from (select cast(cohort as bigint) cohort "
@@ -260,7 +263,7 @@ def evaluation_queries() -> dict[str, str]:
             select uid, {num('pred-4', 'pred')}, {num('case when pred-4<=0 then 0 else pred-4 end', 'clamped')},
                    {num('abs(pred-4)', 'folded')}, {num('case when pred-4>=0.5 then 1 else 0 end', 'decided')},
                    {num('case when lim is null or pred<=lim then pred else lim end', 'capped')}
-            from rule left join (select uid, "limit"*0.8 lim from v_user where sex=1) using (uid)""", **ctes),
+            from rule left join (select uid, "limit"*0.8 lim from v_user) using (uid)""", **ctes),
         "q_mean_prediction": query(TRAIN, f"""
             select uid, {num('avg(p)', 'pred')} from (
               select uid, pred p from rule union all select uid, greatest(pred-1,0) from rule) group by uid""", **ctes),

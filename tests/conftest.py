@@ -11,9 +11,13 @@ from creditloom.sources.tables import CLICK, LOAN, LOAN_SUM, ORDER, USER, Tables
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false"
+        "tests",
+        "local[4]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -129,7 +129,8 @@ def test_registry_is_consistent():
         "q_user_clusters", "q_gbt_cv_rmse", "q_gbt_predictions", "q_feature_importance", "q_grid_search",
         "q_borrow_classifier", "q_cohort_classifier", "q_two_model_predictions", "q_blend",
     }
-    assert queries.keys() - oracle.keys() == without
+    own = {name for name in queries if name.startswith("q_")}
+    assert own - oracle.keys() == without
 
 
 @pytest.mark.parametrize("name", ["q_loan_features", "q_loan_windows", "q_union_features", "q_profile", "q_cohorts"])
