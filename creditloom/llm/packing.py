@@ -50,7 +50,7 @@ class Encoder:
     The vocabulary drops white space and never joins over it, so chunks between ASCII spaces encode alone.
     """
 
-    def __init__(self, path: str, memo_entries: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 1_000_000):
         self.library = Tokenizer.from_file(path)
         self.memo = Memo(memo_entries)
         vocab = self.library.get_vocab()
