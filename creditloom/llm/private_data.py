@@ -8,7 +8,9 @@ with its square. Loopy message passing in the log domain makes repeated mentions
 form that the patterns know marks its other mentions.
 
 The factors are fitted piecewise on the labels that the base patterns give over the whole corpus: shapes, steps and
-skips are categories, so their likeliest values are ratios of counts. The counts are over fixed sets of
+skips are categories, so their likeliest values are ratios of counts. A word that no pattern takes but that repeats one
+which a pattern took is not counted as harmless: its label is what the field is to find. Skip edges reward equal
+kinds, by how often two mentions that patterns took are of one kind. The counts are over fixed sets of
 categories, a few thousand at most, whatever the corpus. Texts are read once: their candidates are stored, and
 fitting and inference work on those.
 
@@ -131,18 +133,28 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
 
 
 def skip_edges(rows: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of candidates: each with the last one before it that has the same key, but for its neighbour's."""
+    """Pairs (i, j) of candidates: each with the last one before it that has the same key."""
     pairs = []
     for column in (3, 4):
         last: dict[int, int] = {}
         for j, key in enumerate(rows[:, column].tolist()):
             if key:
-                if key in last and last[key] < j - 1:
+                if key in last:
                     pairs.append((last[key], j))
                 last[key] = j
     return np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
 
 
+def _repeats_a_known_one(rows: np.ndarray) -> np.ndarray:
+    """Candidates outside base spans that share a key with one inside."""
+    open_ = rows[:, 5] == NONE
+    found = np.zeros(len(rows), bool)
+    for column in (3, 4):
+        keys = rows[:, column]
+        found |= open_ & (keys != 0) & np.isin(keys, keys[~open_])
+    return found
+
+
 class Field:
     """Fitted log potentials."""
 
@@ -152,7 +164,10 @@ class Field:
         # Rare shapes fall back on the labels' shares, few of them personal.
         self.unary = np.log((shapes + 4 * prior) / (shapes.sum(axis=1, keepdims=True) + 4))
         self.step = self._affinity(steps)
-        self.skip = self._affinity(skips)
+        kinds = skips[:NONE, :NONE]
+        agree, differ = np.trace(kinds), kinds.sum() - np.trace(kinds)
+        reward = float(np.clip(np.log((agree + 20) / (differ + 1)), 1.0, 4.0))
+        self.skip = np.diag([*[reward] * NONE, 0.0])
 
     @staticmethod
     def _affinity(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
@@ -223,8 +238,9 @@ def fit(read: DataFrame) -> Field:
         for batch in batches:
             for flat in batch["words"]:
                 rows = _matrix(flat)
-                np.add.at(shapes, (rows[:, 2], rows[:, 5]), 1)
-                np.add.at(pairs[0], (rows[:-1, 5], rows[1:, 5]), 1)
+                clear = rows[~_repeats_a_known_one(rows)]
+                np.add.at(shapes, (clear[:, 2], clear[:, 5]), 1)
+                np.add.at(pairs[0], (clear[:-1, 5], clear[1:, 5]), 1)
                 skips = skip_edges(rows)
                 np.add.at(pairs[1], (rows[skips[:, 0], 5], rows[skips[:, 1], 5]), 1)
         every = np.concatenate([shapes.ravel(), pairs.ravel()])

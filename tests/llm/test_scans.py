@@ -198,7 +198,8 @@ def test_quality_verdicts(stored_docs, labels):
     for k in range(0, 60, 4):
         good[k] = "### $$$ %% ** BUY && NOW || " * 1 + " ".join(f"W{j}#*" for j in range(k, k + 20))
     docs = stored_docs(good + [None, "too short"])
-    out = {r.doc_id: r for r in quality_rules.judged(docs, labels).collect()}
+    setting = quality_rules.Boosting(least_weight=0.5)
+    out = {r.doc_id: r for r in quality_rules.judged(docs, labels, setting).collect()}
     assert not out[60].kept and not out[61].kept and out[60].base_failed
     right = [out[k].kept == (k % 4 != 0) for k in range(60)]
     assert sum(right) >= 58
