@@ -113,9 +113,10 @@ def groups(
             .join(snapshot, "digest")
             .select("digest", F.col("first.best.row").alias("row_a"), F.col("best.row").alias("row_b"))
         )
-        equal = stored(same_bytes(pairs, docs, text_col), "equal").withColumn("equal", F.lit(True))
+        equal = same_bytes(pairs, docs, text_col).join(snapshot, "digest")
+        equal = stored(equal.select("digest", F.col("first.part").alias("known")), "equal")
         joined = incoming.join(equal, "digest", "left")
-        part = F.when(F.col("equal"), F.lit(0)).otherwise(F.lit(batch)).alias("part")
+        part = F.coalesce("known", F.lit(batch)).alias("part")
         settled = stored(settled.unionByName(joined.select(*found.columns, part)), "settled")
     whole = settled.groupBy("digest", "part").agg(F.sum("size").alias("group_size"), F.max("best").alias("keep"))
     keep = (F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")

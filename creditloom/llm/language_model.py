@@ -35,6 +35,8 @@ ORDER = 4
 _SIZE = SYMBOLS**ORDER
 #: Scores are counted in steps of this many nats.
 STEP = 0.001
+#: Every context passes something on to the lower orders, so that no symbol is impossible.
+LEAST_DISCOUNT = 0.05
 
 
 def _symbol_table() -> np.ndarray:
@@ -108,7 +110,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
     texts = docs.select(quoted(id_col).cast("long").alias("id"), packed(quoted(text_col).cast("string")).alias("classes"))
     ids = trusted.select(F.col("doc_id").cast("long").alias("id"))
-    counted = texts.join(ids, "id", "left_semi").select("classes").mapInArrow(count, "code long, n long")
+    # By shuffle at any size: the labels grow with the corpus.
+    counted = texts.join(ids.hint("merge"), "id", "left_semi").select("classes").mapInArrow(count, "code long, n long")
     return stored(counted.groupBy("code").agg(F.sum("n").alias("n")), "ngrams")
 
 
@@ -135,7 +138,7 @@ def kneser_ney(counts: DataFrame) -> Model | None:
         n1, n2, n3, n4 = (kinds.get((k, i), 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         cuts = [
-            min(max(i - (i + 1) * y * b / a if a and b else y, 0.0), float(i))
+            min(max(i - (i + 1) * y * b / a if a and b else y, LEAST_DISCOUNT), float(i))
             for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))
         ]
         cut = F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
