@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -63,6 +63,33 @@ def fit_regressor(
     return Pipeline(stages=[_assembler(features), trees]).fit(df)
 
 
+def rounds_with_patience(errors: list[float], patience: int) -> int:
+    """The best round of a series of validation errors, as a run that stops ``patience`` rounds after its best finds it."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def fit_with_patience(
+    df: DataFrame, features: list[str], settings: Boosting, validation: str, patience: int = 100
+) -> tuple[PipelineModel, int]:
+    """Boost on the unflagged rows, find the best round on the flagged ones, and fit that many rounds again.
+
+    Spark's own stopping ends at the first round whose error rises; here one bad round ends nothing.
+    """
+    train, held = df.where(~F.col(validation)), df.where(F.col(validation))
+    whole = fit_regressor(train, features, settings)
+    errors = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(held), "squared")
+    best = rounds_with_patience(errors, patience)
+    if best == settings.rounds:
+        return whole, best
+    return fit_regressor(train, features, replace(settings, rounds=best)), best
+
+
 @dataclass(frozen=True)
 class FoldedModel:
     models: list[PipelineModel]
@@ -157,7 +184,7 @@ def borrow_probability(model: PipelineModel, matrix: DataFrame) -> DataFrame:
     """Probability of borrowing and the decision at one half, next to the true class if known."""
     scored = model.transform(fill_zero(matrix))
     p = F.get(vector_to_array("probability"), 1)
-    kept = [binarised(F.col("label")).alias("label")] if "label" in matrix.columns else []
+    kept = [binarised(F.coalesce("label", F.lit(0.0))).alias("label")] if "label" in matrix.columns else []
     return scored.select(KEY, *kept, p.alias("probability"), decided(p).alias("pred"))
 
 

@@ -23,6 +23,19 @@ def confusion(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFr
     return df.groupBy(label, pred).agg(F.count("*").alias("n"))
 
 
+def class_confusion(df: DataFrame, classes: int, pred: str = "pred", label: str = "label") -> DataFrame:
+    """Counts of every pair of the classes 0 .. classes-1, those that do not occur included, in one global aggregate."""
+    pairs = [(y, p) for y in range(classes) for p in range(classes)]
+    counts = df.agg(
+        *(F.count(F.when((F.col(label) == y) & (F.col(pred) == p), 1)).alias(f"n_{y}_{p}") for y, p in pairs)
+    )
+    cells = [
+        F.struct(F.lit(y).cast("bigint").alias("label"), F.lit(p).cast("bigint").alias("pred"), F.col(f"n_{y}_{p}").alias("n"))
+        for y, p in pairs
+    ]
+    return counts.select(F.inline(F.array(*cells)))
+
+
 def binary_metrics(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """Accuracy, precision, recall, F1, the four confusion counts and the class counts."""
     p, y = F.col(pred) == 1, F.col(label) == 1

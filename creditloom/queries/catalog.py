@@ -369,6 +369,57 @@ def borrow_classes(t: Tables) -> DataFrame:
     return boosting.borrow_probability(boosting.fit_borrow_classifier(train, QUICK), train)
 
 
+def _held_out(df: DataFrame, stratum: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows of a stored matrix: a fifth of the users, of each stratum if one is given."""
+    keys = df.select(*dict.fromkeys((KEY, *([stratum] if stratum else []))))
+    flags = sampling.sample_flags(keys, SEED, fraction=0.2, stratum=stratum, flag="held_out").select(KEY, "held_out")
+    flagged = df.join(_stored(flags, "held-out"), KEY)
+    return flagged.where(~F.col("held_out")).drop("held_out"), flagged.where("held_out").drop("held_out")
+
+
+def borrow_report(t: Tables) -> DataFrame:
+    """How well the borrow classifier does on users it has not seen."""
+    train, held = _held_out(_train(t))
+    model = boosting.fit_borrow_classifier(train, QUICK)
+    return metrics.binary_metrics(boosting.borrow_probability(model, held))
+
+
+def cohort_report(t: Tables) -> DataFrame:
+    """True and predicted cohorts of users that the classifier has not seen, all sixteen pairs."""
+    matrix_ = _stored(original_matrix.cohort_training_matrix(t, TRAIN).fillna(0.0, ["label2"]), "cohort-matrix")
+    train, held = _held_out(matrix_, "label2")
+    model = boosting.fit_cohort_classifier(train, TINY)
+    judged = model.transform(_filled(held)).select(F.col("label2").alias("label"), "pred")
+    return metrics.class_confusion(judged, 4)
+
+
+def two_model_report(t: Tables) -> DataFrame:
+    """Error of the two models on held-out users of their own population, a fifth of each cohort."""
+    split = _stored(cohorts.population_split(t, TRAIN, SCORE), "populations")
+    groups = _stored(cohorts.cohorts(t, TRAIN), "cohorts")
+    parts = []
+    for number, make in ((1, original_matrix.borrower_matrix), (2, original_matrix.non_borrower_matrix)):
+        own = cohorts.among(make(t, TRAIN), split.where(F.col("train_model") == number))
+        own = _stored(own.join(groups, KEY, "left").fillna(0, ["cohort"]), f"model{number}")
+        train, held = _held_out(own, "cohort")
+        train, held = (_filled(df.drop("cohort")) for df in (train, held))
+        model = boosting.fit_regressor(train, segments.feature_columns(train), TINY)
+        found = metrics.rmse(model.transform(held).select("label", "pred"))
+        parts.append(found.select(F.lit(number).cast("bigint").alias("model"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+def stored_model_predictions(t: Tables) -> DataFrame:
+    """A regressor that stops with patience, stored, loaded again and applied to the users to score."""
+    spark = t.loan.sparkSession
+    train = _filled(_train(t)).withColumn("_held", sampling.fold_id(SEED) == 0)
+    features = segments.feature_columns(train, but=(KEY, "label", "_held"))
+    model, _ = boosting.fit_with_patience(train, features, QUICK, "_held")
+    path = fresh_path(spark, "regressor")
+    sinks.save_model(model, path)
+    return boosting.mean_of_models([sinks.load_model(path)], matrix.scoring_matrix(t, SCORE))
+
+
 def cohort_classes(t: Tables) -> DataFrame:
     train = _stored(original_matrix.cohort_training_matrix(t, TRAIN), "cohort-matrix")
     model = boosting.fit_cohort_classifier(train, TINY)
@@ -516,6 +567,10 @@ def queries() -> dict[str, Query]:
         "q_borrow_classifier": borrow_classes,
         "q_cohort_classifier": cohort_classes,
         "q_two_model_predictions": two_models,
+        "q_borrow_holdout_metrics": borrow_report,
+        "q_cohort_holdout_confusion": cohort_report,
+        "q_two_model_holdout_rmse": two_model_report,
+        "q_stored_model_predictions": stored_model_predictions,
         "q_blend": blended,
     }
     found.update({name: _on_tables(make) for name, make in on_tables.items()})

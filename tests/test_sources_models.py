@@ -128,6 +128,8 @@ def test_registry_is_consistent():
     without = {
         "q_user_clusters", "q_gbt_cv_rmse", "q_gbt_predictions", "q_feature_importance", "q_grid_search",
         "q_borrow_classifier", "q_cohort_classifier", "q_two_model_predictions", "q_blend",
+        "q_borrow_holdout_metrics", "q_cohort_holdout_confusion", "q_two_model_holdout_rmse",
+        "q_stored_model_predictions",
     }
     own = {name for name in queries if name.startswith("q_")}
     assert own - oracle.keys() == without
