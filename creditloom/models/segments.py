@@ -79,6 +79,13 @@ def assign_segments(df: DataFrame, model: PipelineModel, name: str = "cluster_la
     return placed.select(*df.columns, (F.col("segment") + 1).cast("double").alias(name))
 
 
+def with_clusters(matrix: DataFrame, groups: dict[str, DataFrame]) -> DataFrame:
+    """A matrix with the segment columns of its feature groups, by column name; 0 for users a group does not have."""
+    for name, group in groups.items():
+        matrix = matrix.join(group.select(KEY, name), KEY, "left").fillna(0.0, [name])
+    return matrix
+
+
 def segmented(df: DataFrame, path: str, fit: bool, name: str = "cluster_label", **params) -> DataFrame:
     """Fit and store segments on training data, or apply the stored ones to scoring data."""
     if fit:

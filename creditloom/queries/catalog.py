@@ -339,6 +339,36 @@ def user_clusters(t: Tables) -> DataFrame:
     )
 
 
+CLUSTERED = {
+    "loan_cluster_label": original_loan.original_loan_features,
+    "order_cluster_label": original_order.original_order_features,
+    "click_cluster_label": original_click.original_click_features,
+}
+
+
+def clustered(name: str, **params) -> Callable[[Tables], DataFrame]:
+    """A feature group of the next anchor with the segments fitted on its training users."""
+
+    def run(t: Tables) -> DataFrame:
+        path, make = fresh_path(t.loan.sparkSession, name), CLUSTERED[name]
+        train = _stored(make(t, TRAIN), f"{name}-train")
+        segments.segmented(train, path, fit=True, name=name, **params)
+        return segments.segmented(_stored(make(t, SCORE), f"{name}-score"), path, fit=False, name=name)
+
+    return run
+
+
+def clustered_matrix(t: Tables, **params) -> DataFrame:
+    """The original training matrix with the segments of its three groups and of the whole row."""
+    spark, groups = t.loan.sparkSession, {}
+    for name, make in CLUSTERED.items():
+        group = _stored(make(t, TRAIN), name)
+        groups[name] = segments.segmented(group, fresh_path(spark, name), fit=True, name=name, **params)
+    whole = segments.with_clusters(original_matrix.original_training_matrix(t, TRAIN), groups)
+    whole = _stored(whole, "clustered-matrix")
+    return segments.segmented(whole, fresh_path(spark, "cluster_label"), fit=True, name="cluster_label", **params)
+
+
 def cv_rmse(t: Tables) -> DataFrame:
     return boosting.fold_rmse(boosting.fit_folds(_train(t), QUICK, folds=5))
 
@@ -560,6 +590,9 @@ def queries() -> dict[str, Query]:
         "q_holdout_file": holdout_file,
         "q_materialized": materialized,
         "q_user_clusters": user_clusters,
+        "q_v1_loan_clustered": clustered("loan_cluster_label"),
+        "q_v1_order_clustered": clustered("order_cluster_label"),
+        "q_v1_click_clustered": clustered("click_cluster_label"),
         "q_gbt_cv_rmse": cv_rmse,
         "q_gbt_predictions": cv_predictions,
         "q_feature_importance": feature_importance,

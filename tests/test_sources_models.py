@@ -129,7 +129,7 @@ def test_registry_is_consistent():
         "q_user_clusters", "q_gbt_cv_rmse", "q_gbt_predictions", "q_feature_importance", "q_grid_search",
         "q_borrow_classifier", "q_cohort_classifier", "q_two_model_predictions", "q_blend",
         "q_borrow_holdout_metrics", "q_cohort_holdout_confusion", "q_two_model_holdout_rmse",
-        "q_stored_model_predictions",
+        "q_stored_model_predictions", "q_v1_loan_clustered", "q_v1_order_clustered", "q_v1_click_clustered",
     }
     own = {name for name in queries if name.startswith("q_")}
     assert own - oracle.keys() == without

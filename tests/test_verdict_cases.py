@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import cohorts, sampling
 from creditloom.operators.fused import Measures
+from creditloom.queries import catalog
+from creditloom.sources.retimed import open_tables
 from creditloom.plans import cross, loan, original_loan, original_matrix
 from creditloom.sources.tables import LOAN, Tables
 from creditloom.spec import TRAIN, FeatureSpec
@@ -78,3 +80,12 @@ def test_shuffle_keeps_every_row_in_hash_order(spark):
     first = [r.uid for r in sampling.shuffled(df, 1).collect()]
     assert sorted(first) == list(range(50)) and first != list(range(50))
     assert first == [r.uid for r in sampling.shuffled(df.repartition(3), 1).collect()]
+
+
+def test_matrix_has_the_segments_of_its_groups(spark):
+    t = open_tables(spark, "/root/testdata/sf0.001")
+    found = catalog.clustered_matrix(t, k=4, max_iter=5, restarts=1).toPandas()
+    names = ["loan_cluster_label", "order_cluster_label", "click_cluster_label", "cluster_label"]
+    assert list(found.columns[-4:]) == names and found.uid.is_unique
+    assert found.cluster_label.between(1, 4).all()
+    assert all(found[n].between(0, 4).all() and (found[n] > 0).any() for n in names)
