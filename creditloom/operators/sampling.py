@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom.operators.fused import KEY
 
-BUCKET_DIGITS = 4  # 65,536 buckets per stratum
+BUCKET_DIGITS = 4  # hexadecimal: 65,536 buckets per stratum
 
 
 def hash_text(seed: int, key: str = KEY) -> Column:
@@ -39,6 +39,7 @@ def sample_flags(
     size: int | None = None,
     stratum: str | None = None,
     flag: str = "sampled",
+    bucket_digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Mark an exact sample without replacement among unique keys: a fraction or a size per stratum.
 
@@ -50,8 +51,11 @@ def sample_flags(
     if (fraction is None) == (size is None):
         raise ValueError("give either a fraction or a size")
     bounds = [stratum] if stratum else []
-    hashed = keys.withColumns({"_hash": hash_text(seed), "_bucket": hash_number(seed, BUCKET_DIGITS)})
-    totals = hashed.groupBy(*bounds, "_bucket").agg(F.count("*").alias("_n"))
+    hashed = keys.withColumns({"_hash": hash_text(seed), "_bucket": hash_number(seed, bucket_digits)})
+    place = F.row_number().over(Window.partitionBy(*bounds, "_bucket").orderBy("_hash", KEY))
+    placed = hashed.withColumn("_place", place)
+    # The last place of a bucket is its size, and is read off the same exchange.
+    totals = placed.groupBy(*bounds, "_bucket").agg(F.max("_place").alias("_n"))
     by_bucket = Window.partitionBy(*bounds or [F.lit(0)])
     if size is not None:
         quota = F.lit(size)
@@ -64,10 +68,8 @@ def sample_flags(
         quota.alias("_quota"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
-    place = F.row_number().over(Window.partitionBy(*bounds, "_bucket").orderBy("_hash", KEY))
     return (
-        hashed.withColumn("_place", place)
-        .join(totals, [*bounds, "_bucket"])
+        placed.join(totals, [*bounds, "_bucket"])
         .withColumn(flag, F.col("_before") + F.col("_place") <= F.col("_quota"))
         .select(*keys.columns, flag)
     )
