@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import fresh_name, quoted, stored
+from creditloom.llm.exact_dedup import keep_rows
 
 DOMAINS = ("good", "poor", "toxic")
+FEATURES = ("length", "capitals", "symbols", "digits", "repeated_lines", "repeated_words", "lexicon")
 BINS = 12
 
 
@@ -49,7 +51,12 @@ class Mixing:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _share(part: Column, whole: Column, fineness: float) -> Column:
@@ -62,12 +69,29 @@ def _kinds(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def features(text: Column, lexicon: list[str]) -> dict[str, Column]:
-    """Bins 0 to BINS - 1 of a non-null text's statistics."""
-    n, words = F.length(text), words_of(text)
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+def with_features(docs: DataFrame, text: Column, lexicon: list[str], names: dict[str, str]) -> DataFrame:
+    """The documents with bins 0 to BINS - 1 of their texts' statistics, under the given names.
+
+    Arrays that several statistics need are columns of their own first, so that each is made once.
+    """
+    own = {k: fresh_name(docs, f"mixing_{k}") for k in ("text", "words", "lines", "known")}
+    whole = docs.withColumn(own["text"], F.coalesce(text.cast("string"), F.lit("")))
+    t = F.col(own["text"])
     listed = F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")
-    known = F.size(F.array_intersect(F.transform(words, _bare), listed))
+    whole = whole.withColumns(
+        {
+            own["words"]: words_of(t),
+            own["lines"]: F.array_remove(F.split(t, "\n"), ""),
+            own["known"]: F.size(F.array_intersect(plain_words(t), listed)),
+        }
+    )
+    bins = _features(t, F.col(own["words"]), F.col(own["lines"]), F.col(own["known"]))
+    tokens = {names["tokens"]: F.size(own["words"]).cast("long")} if "tokens" in names else {}
+    return whole.withColumns(tokens | {names[n]: c for n, c in bins.items()}).drop(*own.values())
+
+
+def _features(text: Column, words: Column, lines: Column, known: Column) -> dict[str, Column]:
+    n = F.length(text)
     return {
         "length": F.least(F.floor(F.log2(n + 1) / 1.5), F.lit(BINS - 1)).cast("int"),
         "capitals": _share(_kinds(text, "[A-Z]+"), n, 11.9),
@@ -79,11 +103,6 @@ def features(text: Column, lexicon: list[str]) -> dict[str, Column]:
     }
 
 
-def _bare(word: Column) -> Column:
-    """A word in lower case without the marks around it."""
-    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-
-
 def domains(labels: DataFrame) -> DataFrame:
     """doc_id, domain (by number) of the labelled table: toxic before poor before good."""
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
@@ -98,7 +117,7 @@ def toxic_lexicon(texts: DataFrame, known: DataFrame, mixing: Mixing) -> list[st
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.sample), "lexicon-sample")
     # The sample is bounded by its parameter, so it may be broadcast.
     met = texts.join(F.broadcast(chosen), "doc_id").select(
-        (F.col("domain") == 2).cast("int").alias("toxic"), F.explode(F.array_distinct(F.transform(words_of(F.col("text")), _bare))).alias("word")
+        (F.col("domain") == 2).cast("int").alias("toxic"), F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word")
     )
     toxic, rest = F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("rest")
     totals = chosen.select(F.sum((F.col("domain") == 2).cast("int")).alias("t"), F.count("*").alias("n")).first()
@@ -147,16 +166,16 @@ class Posterior:
 
 
 def measured(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """row, doc_id, source, tokens and the features of every document; stored, so that texts are measured once."""
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    """row, doc_id, source, tokens, a hash of the text and the features of every document; stored: texts are measured once."""
     base = docs.select(
         F.monotonically_increasing_id().alias("row"),
         quoted(id_col).alias("doc_id"),
         quoted(source_col).cast("string").alias("source"),
-        F.size(words_of(text)).cast("long").alias("tokens"),
-        *(c.alias(f"f_{n}") for n, c in features(text, lexicon).items()),
+        quoted(text_col).cast("string").alias("text"),
+        F.xxhash64(F.coalesce(quoted(text_col).cast("string"), F.lit(""))).alias("text_hash"),
     )
-    return stored(base, "measured")
+    names = {n: f"f_{n}" for n in FEATURES} | {"tokens": "tokens"}
+    return stored(with_features(base, F.col("text"), lexicon, names).drop("text"), "measured")
 
 
 def fit_posterior(table: DataFrame, known: DataFrame, lexicon: list[str]) -> Posterior:
@@ -188,11 +207,15 @@ def fit_steps(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]]
     """
     p = [F.col(f"p{k}") for k in range(len(DOMAINS))]
     groups = stored(table.groupBy("p0", "p1", "p2").agg(F.sum("tokens").alias("tokens")), "posterior-groups")
-    t = F.col("tokens")
-    own = groups.agg(*(F.sum(t * x).alias(f"a{k}") for k, x in enumerate(p)), *(F.sum(t * x * x).alias(f"g{k}") for k, x in enumerate(p))).first()
-    if not own.a0 and not own.a1 and not own.a2:
+    t, every = F.col("tokens"), range(len(DOMAINS))
+    sums = [F.sum(t * p[k]).alias(f"a{k}") for k in every]
+    own = groups.agg(*sums, *(F.sum(t * p[k] * p[j]).alias(f"g{k}{j}") for k in every for j in every)).first()
+    if not any(own[f"a{k}"] for k in every):
         return [], [0.0] * len(DOMAINS)
-    have, curve = [own[f"a{k}"] for k in range(3)], [own[f"g{k}"] for k in range(3)]
+    have, curve = [own[f"a{k}"] for k in every], [own[f"g{k}{k}"] for k in every]
+    # The largest row of the scaled curvature bounds its largest eigenvalue, so steps this long cannot diverge.
+    share = lambda k, j: own[f"g{k}{j}"] / math.sqrt(curve[k] * curve[j]) if curve[k] and curve[j] else 0.0
+    step = 1 / max(sum(share(k, j) for j in every) for k in every)
     anchor = DOMAINS.index(mixing.anchor)
     scale = have[anchor] / mixing.weights[anchor]
     # A domain is not asked for more than it has: rates stay near one and no document is repeated for it.
@@ -201,29 +224,29 @@ def fit_steps(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]]
     for _ in range(mixing.steps):
         rate = rate_of(p, steps)
         now = groups.agg(*(F.sum(t * x * rate).alias(f"a{k}") for k, x in enumerate(p))).first()
-        miss = [now[f"a{k}"] - targets[k] for k in range(3)]
+        miss = [now[f"a{k}"] - targets[k] for k in every]
         if all(abs(m) <= mixing.tolerance * max(x, 1.0) for m, x in zip(miss, targets)):
             break
-        steps.append(tuple(0.7 * m / c if c > 0 else 0.0 for m, c in zip(miss, curve)))
+        steps.append(tuple(step * m / c if c > 0 else 0.0 for m, c in zip(miss, curve)))
     return steps, targets
 
 
 def fitted(
     docs: DataFrame, labels: DataFrame, mixing: Mixing, id_col: str, text_col: str, source_col: str
-) -> tuple[DataFrame, list[Column], list[tuple[float, ...]], list[float], Posterior | None]:
+) -> tuple[DataFrame, list[tuple[float, ...]]]:
+    """row, doc_id, source, tokens, text_hash, p0, p1, p2 of every document, stored; and the steps of the rates."""
     known = stored(domains(labels), "domains")
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     lexicon = toxic_lexicon(texts, known, mixing)
     table = measured(docs, lexicon, id_col, text_col, source_col)
-    posterior = fit_posterior(table, known, lexicon) if not known.isEmpty() else None
-    p = posterior.of(_bins(table)) if posterior else [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
-    with_p = table.select("row", "doc_id", "source", "tokens", *(x.alias(f"p{k}") for k, x in enumerate(p)))
-    steps, targets = fit_steps(with_p, mixing) if posterior else ([], [0.0] * len(DOMAINS))
-    return with_p, p, steps, targets, posterior
-
-
-def _bins(table: DataFrame) -> dict[str, Column]:
-    return {c[2:]: F.col(c) for c in table.columns if c.startswith("f_")}
+    labelled = not known.isEmpty()
+    p = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
+    if labelled:
+        p = fit_posterior(table, known, lexicon).of({n: F.col(f"f_{n}") for n in FEATURES})
+    own = ("row", "doc_id", "source", "tokens", "text_hash")
+    # Stored, so that rates read three numbers instead of the classifier's expressions once a step.
+    posteriors = stored(table.select(*own, *(x.alias(f"p{k}") for k, x in enumerate(p))), "posteriors")
+    return posteriors, fit_steps(posteriors, mixing)[0] if labelled else []
 
 
 def mixing_rates(
@@ -235,10 +258,10 @@ def mixing_rates(
     source_col: str = "source",
 ) -> DataFrame:
     """doc_id, source, tokens, p_good, p_poor, p_toxic, rate for every document."""
-    with_p, _, steps, _, _ = fitted(docs, labels, mixing, id_col, text_col, source_col)
+    posteriors, steps = fitted(docs, labels, mixing, id_col, text_col, source_col)
     rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
     named = (F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS))
-    return with_p.select("doc_id", "source", "tokens", *named, rate.alias("rate"))
+    return posteriors.select("doc_id", "source", "tokens", *named, rate.alias("rate"))
 
 
 def mix(
@@ -251,15 +274,11 @@ def mix(
 ) -> DataFrame:
     """The documents drawn at their rates, with all their columns; a rate of one or more keeps a document once.
 
-    The draw is a hash of id and text, so it is the same on every run.
+    The draw is a hash of id and text, so it is the same on every run. ``docs`` is a stored table.
     """
-    _, _, steps, _, posterior = fitted(docs, labels, mixing, id_col, text_col, source_col)
-    if posterior is None or not steps:
+    posteriors, steps = fitted(docs, labels, mixing, id_col, text_col, source_col)
+    if not steps:
         return docs
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    names = {n: fresh_name(docs, f"mixing_{n}") for n in posterior.likely}
-    bins = features(text, posterior.lexicon)
-    measured_docs = docs.withColumns({names[n]: c for n, c in bins.items()})
-    rate = rate_of(posterior.of({n: F.col(c) for n, c in names.items()}), steps)
-    draw = F.pmod(F.xxhash64(quoted(id_col), text), F.lit(1 << 32)) / float(1 << 32)
-    return measured_docs.where(draw < rate).drop(*names.values())
+    rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
+    draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 32)) / float(1 << 32)
+    return keep_rows(docs, posteriors.where(draw < rate).select(F.col("row").alias("keep_row")))
