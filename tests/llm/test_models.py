@@ -187,7 +187,7 @@ def test_mined_rules_equal_brute_force(spark):
 
     support, with_bad = Counter(), Counter()
     for k, _, _ in known:
-        for n in range(1, 4):
+        for n in range(1, 6):
             for some in combinations(sorted(tokens[k]), n):
                 support[some] += 1
                 with_bad[some] += k in bad
