@@ -50,23 +50,21 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Scheme, host suffixes, host labels, words of the path, endings, parameter names and the fragment, distinct.
+    """Scheme, labels of the host by their place from the right, words of the path, parameter names and the fragment.
 
-    Numbers say nothing about other pages and are left out.
+    Tokens are distinct, and none follows from others: every redundant one would double the frequent sets. Numbers
+    say nothing about other pages and are left out.
     """
     host, path = host_of(url), path_of(url)
     scheme = F.regexp_extract(url, r"^(?s:(.*?))://", 1)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
-        lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, F.size(labels)), ".")),
+    labels = F.transform(
+        F.reverse(F.split(host, r"\.")), lambda x, k: F.concat(F.lit("host"), (k + 1).cast("string"), F.lit(":"), x)
     )
-    named = F.transform(labels, lambda x: F.concat(F.lit("label:"), x))
     words = F.transform(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: F.concat(F.lit("path:"), x))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     parameters = F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), F.split(x, "=")[0]))
     fragment = F.when(url.contains("#"), F.array(F.lit("fragment:"))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), suffixes, named, words, parameters, fragment)
+    every = F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), labels, words, parameters, fragment)
     telling = F.filter(F.array_distinct(every), lambda x: ~x.rlike(r"^\w+:[0-9]*$") | (x == "fragment:"))
     return F.when(url.contains("://"), telling).otherwise(F.array().cast("array<string>"))
 
@@ -97,7 +95,9 @@ def mined_rules(transactions: DataFrame, mining: Mining = Mining()) -> DataFrame
     if pages < mining.pages:
         return None
     support = max(mining.support, mining.pages / pages)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence).fit(transactions)
+    parts = int(transactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = FPGrowth(itemsCol="items", minSupport=support, minConfidence=mining.confidence, numPartitions=parts)
+    model = mine.fit(transactions)
     rules = model.associationRules.where(
         (F.element_at("consequent", 1) == BAD)
         & (F.col("lift") >= mining.lift)
