@@ -223,9 +223,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def labelled_sample(stats: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``sample`` labelled rows, the first by a hash of the id; ties by the statistics themselves."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
+    met = stats.join(good.agg(F.min("quality").alias("good")), "doc_id")
+    # Only rows that can be among the first go on, so that tasks do not each send a whole sample to the driver.
+    share = min(1.0, 1.5 * sample / max(met.count(), 1))
     rows = (
-        stats.join(good.agg(F.min("quality").alias("good")), "doc_id")
-        .select("stats", "good", F.xxhash64("doc_id").alias("order"))
+        met.select("stats", "good", F.xxhash64("doc_id").alias("order"))
+        .where(F.col("order") <= int(-(1 << 63) + share * ((1 << 64) - 2048)))
         .orderBy("order", "stats", "good")
         .limit(sample)
         .toPandas()
