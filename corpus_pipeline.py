@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import read, stored
+from creditloom.llm.common import ROW, read, stored
 from creditloom.llm.exact_dedup import drop_exact_duplicates
 from creditloom.llm.language_model import drop_poor
 from creditloom.llm.mixing import mix
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        # Each stage's output is numbered where it is written, so the next one stores no copy to number it.
+        docs = stored(stage(spark, docs, sf_dir).withColumn(ROW, F.monotonically_increasing_id()), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column that numbers the rows of a stored table.
+ROW = "creditloom_row"
+
+
+def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """The documents with a number of each row that is written with them; stored, unless they bring it.
+
+    Numbers that are made while reading change with the splits, so every later join reads the written ones.
+    """
+    if ROW in docs.columns:
+        return docs
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name the input does not have, whatever columns it brings."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm import fuse_filter
-from creditloom.llm.common import fresh_name, quoted, stored
+from creditloom.llm.common import ROW, numbered, quoted, stored
 
 #: Filters hold about this many digests each, so that one task builds and probes one in little memory.
 SHARD_KEYS = 500_000
@@ -37,11 +37,11 @@ def normalised(text: Column) -> Column:
 def digest_table(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, batch, digest, points, of every document; stored, so that texts are hashed once.
 
-    ``row`` numbers the rows of a stored table; its partitions are the same each time it is read.
+    ``docs`` is a numbered table; ``row`` is its stored number.
     """
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     table = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         quoted(id_col).alias("doc_id"),
         F.unhex(F.sha2(normalised(quoted(text_col)), 256)).alias("digest"),
         F.length(text).alias("points"),
@@ -91,7 +91,7 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 def same_bytes(pairs: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Of (digest, row, row) pairs, the digests whose two rows have the same bytes."""
     rows = pairs.select("digest", F.explode(F.array("row_a", "row_b")).alias("row"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), normalised(quoted(text_col)).alias("bytes"))
+    texts = docs.select(F.col(ROW).alias("row"), normalised(quoted(text_col)).alias("bytes"))
     both = rows.join(texts, "row").groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
     return both.where(F.col("low") == F.col("high")).select("digest")
 
@@ -125,6 +125,7 @@ def groups(
 
 def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
+    docs = numbered(docs.select(quoted(id_col), quoted(text_col), *([ROW] if ROW in docs.columns else [])))
     digests = digest_table(docs, batches, id_col, text_col)
     joined = digests.join(groups(docs, digests, batches, text_col), ["batch", "digest"])
     return joined.select(
@@ -137,14 +138,12 @@ def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id",
 
 
 def drop_exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. ``docs`` is a stored table."""
+    """The rows that stay, with all their columns."""
+    docs = numbered(docs)
     digests = digest_table(docs, batches, id_col, text_col)
     return keep_rows(docs, groups(docs, digests, batches, text_col).select("keep_row"))
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of a stored table whose numbers are listed in ``keep_row``."""
-    row, wanted = fresh_name(docs, "row"), fresh_name(docs, "keep_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    listed = rows.select(F.col("keep_row").alias(wanted))
-    return numbered.join(listed, F.col(row) == F.col(wanted), "left_semi").drop(row)
+    """The rows of a numbered table whose numbers are listed in ``keep_row``, without the number."""
+    return docs.join(rows.select(F.col("keep_row").alias(ROW)), ROW, "left_semi").drop(ROW)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import fresh_name, quoted, stored
+from creditloom.llm.common import ROW, fresh_name, numbered, quoted, stored
 from creditloom.llm.exact_dedup import keep_rows
 
 DOMAINS = ("good", "poor", "toxic")
@@ -168,7 +168,7 @@ class Posterior:
 def measured(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
     """row, doc_id, source, tokens, a hash of the text and the features of every document; stored: texts are measured once."""
     base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
         quoted(id_col).alias("doc_id"),
         quoted(source_col).cast("string").alias("source"),
         quoted(text_col).cast("string").alias("text"),
@@ -274,11 +274,12 @@ def mix(
 ) -> DataFrame:
     """The documents drawn at their rates, with all their columns; a rate of one or more keeps a document once.
 
-    The draw is a hash of id and text, so it is the same on every run. ``docs`` is a stored table.
+    The draw is a hash of id and text, so it is the same on every run.
     """
+    docs = numbered(docs)
     posteriors, steps = fitted(docs, labels, mixing, id_col, text_col, source_col)
     if not steps:
-        return docs
+        return docs.drop(ROW)
     rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 32)) / float(1 << 32)
     return keep_rows(docs, posteriors.where(draw < rate).select(F.col("row").alias("keep_row")))

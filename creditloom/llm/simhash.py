@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import quoted, stored
+from creditloom.llm.common import ROW, numbered, quoted, stored
 from creditloom.llm.components import roots
 from creditloom.llm.exact_dedup import keep_rows
 
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, print of every document, stored. ``row`` numbers the rows of a stored table."""
+    """row, doc_id, print of every document, stored. ``docs`` is a numbered table, or one read once."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
     return stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
             quoted(id_col).alias("doc_id"),
             prints(quoted(text_col).cast("string")).alias("print"),
         ),
@@ -195,6 +195,7 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns. ``docs`` is a stored table."""
+    """One row of each component, that of the smallest id, with all its columns."""
+    docs = numbered(docs)
     prints = fingerprints(docs, words, id_col, text_col)
     return keep_rows(docs, near_components(prints, max_bits).select("keep_row").distinct())

@@ -147,3 +147,36 @@ def test_roots_of_paths_stars_and_loops(spark):
     assert {got[k] for k in range(1, 41)} == {0}
     assert {got[k] for k in range(101, 140)} == {100} and got[201] == 200
     assert roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_row_numbers_are_the_written_ones(spark, tmp_path):
+    """Splits that change between two jobs, as after a lost executor, change no result."""
+    from creditloom.llm import exact_dedup, mixing
+    from creditloom.llm.common import ROW, numbered
+
+    texts = [f"text {k // 2} of many" for k in range(400)]
+    path = str(tmp_path / "documents.parquet")
+    frame = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    frame.repartition(7, "doc_id").write.parquet(path)
+
+    def splits(n):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+
+    try:
+        splits("1")
+        docs = numbered(spark.read.parquet(path))
+        digests = exact_dedup.digest_table(docs)
+        splits("40")
+        found = exact_dedup.groups(docs, digests).agg({"group_size": "min"}).first()[0]
+        assert found == 2
+        splits("1")
+        chosen = docs.where("doc_id % 5 = 0").selectExpr(f"{ROW} as keep_row")
+        chosen = exact_dedup.stored(chosen, "chosen")
+        splits("40")
+        kept = exact_dedup.keep_rows(docs, chosen)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 400, 5)) and ROW not in kept.columns
+        table = mixing.measured(docs, [], "doc_id", "text", "source")
+        splits("1")
+        assert table.join(docs, (table.row == docs[ROW]) & (table.doc_id == docs.doc_id)).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
