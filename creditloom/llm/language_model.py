@@ -1,9 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model's tokens are characters in ``SYMBOLS`` classes, so a table of all n-grams has a proven size
-(40^4 single-precision numbers are 10 MB, at any corpus size). Counts cover all trusted text: tasks count what they read, the
-counts are summed by n-gram, and joins sharded by context and by suffix turn them into discounted, interpolated
-probabilities. Every document is then scored in its own task from the table, so texts do not move.
+The model is that of ``ngram_model``: n-grams of characters as they are, counted over all trusted text and looked up by
+sharded keys. The smaller model of ``SYMBOLS`` character classes (``fit``) is a function for callers who want a table of
+fixed size; no query uses it.
 
 A document's score is its mean surprise a character, drawn towards its language's mean by ``prior`` characters, so
 that short documents are not judged by a few letters; its perplexity is also given. The limit of a language is a
@@ -25,10 +24,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import fresh_name, quoted, stored
+from creditloom.llm import ngram_model
+from creditloom.llm.common import ROW, numbered, quoted, stored
+from creditloom.llm.exact_dedup import keep_rows
 
 SYMBOLS = 40
 ORDER = 4
@@ -158,21 +159,6 @@ def kneser_ney(counts: DataFrame) -> Model | None:
     return Model(np.log(dense).astype(np.float32))
 
 
-def surprise(spark: SparkSession, model: Model, text: Column) -> Column:
-    """A struct of n, the characters of the whole text, and nats, their summed surprise."""
-    shared = spark.sparkContext.broadcast(model.log_probs)
-
-    @F.pandas_udf("n long, nats double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        log_probs, rows = shared.value, []
-        for text in texts:
-            classes = symbols(text)
-            rows.append((len(classes), -float(log_probs[codes(classes)].sum(dtype=np.float64))))
-        return pd.DataFrame(rows, columns=["n", "nats"])
-
-    return score(text)
-
-
 def _quantiles(counts: dict[int, int], shares: tuple[float, ...]) -> list[float]:
     steps = sorted(counts)
     reached = np.cumsum([counts[s] for s in steps])
@@ -273,19 +259,18 @@ def _scored(
     docs: DataFrame, labels: DataFrame, cut: Cut, id_col: str, text_col: str, lang_col: str
 ) -> tuple[DataFrame, Limits | None]:
     """row, doc_id, lang, n, nats of every document, stored; and the limits."""
-    spark, trusted = docs.sparkSession, trusted_ids(labels)
-    model = fit(docs, trusted, id_col, text_col)
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        quoted(id_col).alias("doc_id"),
-        quoted(lang_col).cast("string").alias("lang"),
-        quoted(text_col).cast("string").alias("text"),
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("nats"))
-    score = surprise(spark, model, F.col("text")) if model else empty
-    scored = stored(base.withColumn("s", score).select("row", "doc_id", "lang", "s.n", "s.nats"), "surprise")
-    known = scored.join(trusted, "doc_id", "left_semi") if model else None
-    return scored, language_limits(known, cut) if model else None
+    trusted = trusted_ids(labels)
+    # The rows are numbered in the one reading that bundles them, unless they bring a written number.
+    row = (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row")
+    doc_id, lang = quoted(id_col).alias("doc_id"), quoted(lang_col).cast("string").alias("lang")
+    base = docs.select(row, doc_id, lang, quoted(text_col).cast("string").alias("text"))
+    headed = base.select("row", F.col("doc_id").cast("long").alias("id"), F.struct("row", "doc_id", "lang").alias("head"), "text")
+    found = ngram_model.scored(headed, trusted)
+    if found is None:
+        length = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")
+        return base.select("row", "doc_id", "lang", length, F.lit(0.0).alias("nats")), None
+    scored = found.select("head.*", "n", "nats")
+    return scored, language_limits(scored.join(trusted, "doc_id", "left_semi"), cut)
 
 
 def drop_poor(
@@ -297,17 +282,9 @@ def drop_poor(
     lang_col: str = "lang",
 ) -> DataFrame:
     """The documents at or below their language's limit, with all their columns."""
-    spark, trusted = docs.sparkSession, trusted_ids(labels)
-    model = fit(docs, trusted, id_col, text_col)
-    if model is None:
-        return docs
-    text = quoted(text_col).cast("string")
-    known = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).cast("string").alias("lang"), text.alias("text"))
-    known = known.withColumn("s", surprise(spark, model, F.col("text"))).select("doc_id", "lang", "s.n", "s.nats")
-    limits = language_limits(stored(known.join(trusted, "doc_id", "left_semi"), "trusted-surprise"), cut)
+    rows = numbered(docs)
+    scored, limits = _scored(rows, labels, cut, id_col, text_col, lang_col)
     if limits is None:
-        return docs
-    scored, lang = fresh_name(docs, "surprise"), quoted(lang_col).cast("string")
-    judged = docs.withColumn(scored, surprise(spark, model, text))
-    s = F.col(scored)
-    return judged.where((s["n"] == 0) | (limits.score(s, lang) <= limits.limit(lang))).drop(scored)
+        return rows.drop(ROW)
+    low = (F.col("n") == 0) | (limits.score(F.struct("nats", "n"), F.col("lang")) <= limits.limit(F.col("lang")))
+    return keep_rows(rows, scored.where(low).select(F.col("row").alias("keep_row")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 import corpus_pipeline
-from creditloom.llm import language_model, mixing, url_rules
+from creditloom.llm import language_model, mixing, ngram_model, url_rules
 
 
 def slow_kneser_ney(texts):
@@ -81,6 +81,49 @@ def test_language_model_rejects_noise_and_keeps_text(spark, stored_docs, labels)
     assert language_model.perplexities(docs.where("false"), labels).count() == 0
 
 
+def slow_ngram_chances(texts, order):
+    """Like ``slow_kneser_ney``, over code points as they are and a uniform share of all code points."""
+    tables = [Counter()]
+    for text in texts:
+        padded = "\1" * (order - 1) + text
+        tables[0].update(padded[k : k + order] for k in range(len(text)))
+    for _ in range(order - 1):
+        tables.append(Counter(g[1:] for g in tables[-1]))
+    cuts = []
+    for table in tables:
+        spectrum = Counter(table.values())
+        cuts.append([0.0, *ngram_model.discounts([spectrum[k] for k in (1, 2, 3, 4)])])
+
+    def chance(gram):
+        if not gram:
+            return 1 / 0x110000
+        k = order - len(gram)
+        seen = [n for g, n in tables[k].items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return chance(gram[1:])
+        n = tables[k].get(gram, 0)
+        own = n - cuts[k][min(n, 3)]
+        return (own + sum(cuts[k][min(m, 3)] for m in seen) * chance(gram[1:])) / sum(seen)
+
+    return chance
+
+
+def test_perplexity_is_that_of_real_ngrams(spark, stored_docs, monkeypatch):
+    monkeypatch.setattr(ngram_model, "BLOCK", 40)
+    texts = ["the cat sat on the mat.", "The DOG sat, and the cat ran", "кошка сидит тут", "猫在这里𝒳", None, "", "кошка", "тут \U0010ffff\0"]
+    docs = stored_docs(texts)
+    labels = spark.createDataFrame([(k, 1, 0) for k in (0, 1, 2, 3, 3)], "doc_id long, quality int, toxic int")
+    chance = slow_ngram_chances([t for t in texts[:4]], ngram_model.ORDER)
+    out = {r.doc_id: r for r in language_model.perplexities(docs, labels, language_model.Cut(least=1)).collect()}
+    for k, text in enumerate(t or "" for t in texts):
+        padded = "\1" * (ngram_model.ORDER - 1) + text
+        logs = [math.log(chance(padded[i : i + ngram_model.ORDER])) for i in range(len(text))]
+        want = math.exp(-sum(logs) / len(logs)) if logs else 1.0
+        assert (out[k].n_chars_scored, out[k].perplexity) == (len(text), pytest.approx(want, rel=1e-4))
+    # Letters that one class of the old table held are told apart.
+    assert out[6].perplexity < out[7].perplexity / 10
+
+
 def slow_rates(tokens, p, steps):
     rate = np.ones(len(tokens))
     for s in steps:
