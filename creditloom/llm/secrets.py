@@ -4,7 +4,8 @@ The method looks at candidates, runs of at least ``Windows.least`` letters, digi
 candidate; the counts of its characters change by one in and one out, and with them the Shannon entropy of
 each character class (hexadecimal, alphanumeric, base 64), so a step costs the same whatever the width. A candidate is
 a secret where a window of its narrowest class reaches that class's limit, unless the allow list knows it: identifiers of
-known form, sequences, text words joined by signs, and what the caller adds.
+known form, text words joined by signs, and what the caller adds. Sequences (digits or letters in order, ten at
+least) are left out of a candidate, and the rest of it is judged.
 
 Spans are in code points, ends exclusive. The method's spans have the kind ``entropy`` and leave out what a base
 span covers. Null texts count as empty, and have no spans. Candidates of any length are taken whole.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,12 +43,24 @@ _CANDIDATE_BYTES = bytes(1 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-"
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9][0-9_=+/-]*",
-    r"(?:[A-Z]?[a-z]+[_/=+-]*)+",
-    r"(?:[A-Z]+[_/=+-]*)+",
-    r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*",
+    # Possessive: each character has one place in the pattern, so a miss takes one pass.
+    r"(?:[A-Z]?[a-z]++[_/=+-]*+)++",
+    r"(?:[A-Z]++[_/=+-]*+)++",
 )
 
 
+def _ascending(characters: str, least: int = 10) -> str:
+    """A pattern of the first ``least`` characters and as many of the following as there are."""
+    tail = ""
+    for c in reversed(characters[least:]):
+        tail = f"(?:{c}{tail})?"
+    return characters[:least] + tail
+
+
+#: Sequences are left out, and what is left of the candidate is judged.
+_SEQUENCE = re.compile("|".join(map(_ascending, ("0123456789", string.ascii_lowercase, string.ascii_uppercase))))
+
+
 @dataclass(frozen=True)
 class Windows:
     width: int = 20
@@ -114,8 +128,12 @@ def entropy_spans(
             at += 1
         if any(s < end and e > start for s, e, _ in base[at : at + len(KINDS)]) or end - start < w.least:
             continue
-        word = m[0]
-        if not allowed.fullmatch(word) and max_entropy(word, w.width) >= _class_limit(word, w):
+        if allowed.fullmatch(m[0]):
+            continue
+        word = _SEQUENCE.sub("", m[0])
+        if len(word) < w.least or word != m[0] and allowed.fullmatch(word):
+            continue
+        if max_entropy(word, w.width) >= _class_limit(word, w):
             found.append((start, end, "entropy"))
     return found
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -206,3 +207,18 @@ def test_quality_verdicts(stored_docs, labels):
     alone = quality_rules.judged(docs, labels.where("false")).collect()
     assert all(r.kept != r.base_failed for r in alone)
     assert quality_rules.judged(docs.where("false"), labels).count() == 0
+
+
+@pytest.mark.parametrize("run", ["a" * 100_000, "ACGT" * 25_000, "some-slug-of-words-" * 5_000, "Ab" * 50_000])
+def test_allow_list_is_linear(run):
+    began = time.process_time()
+    secrets.scan(run + "7")
+    assert time.process_time() - began < 5
+
+
+def test_sequences_hide_only_themselves():
+    secret = "q7Rk2ZpX9vLm4TbW8sYc"
+    for text in (secret + "0123456789", "abcdefghijklm" + secret, secret[:12] + "0123456789" + secret[12:]):
+        assert secrets.scan(text)[-1] == f"entropy:0:{len(text)}"
+    for text in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef" * 3, "my-0123456789-and-other-words"):
+        assert "entropy" not in secrets.scan(text)[-1]
