@@ -6,7 +6,8 @@ posterior, meet their targets: least squares over the relative misses, by projec
 A step needs three sums over all documents and changes a rate by a combination of its document's posteriors, so a
 rate is a function of the posteriors and of the steps so far; no rates travel.
 
-The anchor domain's target is what it has, and the others follow from the weights, so the anchor keeps its rate of about one.
+The anchor domain's target is what it has, and the others follow from the weights, so the anchor keeps its rate of about one;
+a domain scarcer than its weight gets rates above one, and its documents are repeated.
 Sums are over documents grouped by equal posteriors, so copies and a hot source combine before the shuffle.
 
 The classifier's features are binned statistics of whole texts and the number of words from a lexicon, which is taken from a bounded
@@ -20,13 +21,14 @@ is a source. Repeated rows are documents. Without labels every document is wholl
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import ROW, fresh_name, numbered, quoted, stored
-from creditloom.llm.exact_dedup import keep_rows
 
 DOMAINS = ("good", "poor", "toxic")
 FEATURES = ("length", "capitals", "symbols", "digits", "repeated_lines", "repeated_words", "lexicon")
@@ -160,9 +162,7 @@ class Posterior:
         top = F.greatest(*scores)
         chances = [F.exp(s - top) for s in scores]
         total = chances[0] + chances[1] + chances[2]
-        # Three decimals: documents that hardly differ share a group of sums.
-        first, second = (F.round(c / total, 3) for c in chances[1:])
-        return [1.0 - first - second, first, second]
+        return [c / total for c in chances]
 
 
 def measured(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -200,41 +200,65 @@ def rate_of(posteriors: list[Column], steps: list[tuple[float, ...]]) -> Column:
 
 
 def fit_steps(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]], list[float]]:
-    """Gradient steps until every domain's expected tokens are within the tolerance; and the targets.
+    """Steps until every domain's expected tokens are within the tolerance; and the targets. See ``fit_rates``."""
+    return fit_rates(table, mixing)[:2]
+
+
+def fit_rates(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]], list[float], list[float]]:
+    """Steps until every domain's expected tokens are within the tolerance; the targets; and the tokens reached.
 
     ``table`` has tokens and the posteriors p0, p1, p2. The gradient of a document with tokens t and posterior p along
-    domain k is t p_k times the miss; steps are scaled by tokens and by the domain's own curvature.
+    domain k is t p_k times the miss. A step goes by the curvature of the documents whose rates are not zero, and where
+    that does not bring the targets nearer, down the gradient, scaled by tokens and by the domain's own curvature.
+    Targets that no nonnegative rates meet (a domain in no document's posterior, say) end at the nearest; a warning says so.
     """
     p = [F.col(f"p{k}") for k in range(len(DOMAINS))]
     groups = stored(table.groupBy("p0", "p1", "p2").agg(F.sum("tokens").alias("tokens")), "posterior-groups")
     t, every = F.col("tokens"), range(len(DOMAINS))
-    sums = [F.sum(t * p[k]).alias(f"a{k}") for k in every]
-    own = groups.agg(*sums, *(F.sum(t * p[k] * p[j]).alias(f"g{k}{j}") for k in every for j in every)).first()
-    if not any(own[f"a{k}"] for k in every):
-        return [], [0.0] * len(DOMAINS)
-    have, curve = [own[f"a{k}"] for k in every], [own[f"g{k}{k}"] for k in every]
-    # The largest row of the scaled curvature bounds its largest eigenvalue, so steps this long cannot diverge.
-    share = lambda k, j: own[f"g{k}{j}"] / math.sqrt(curve[k] * curve[j]) if curve[k] and curve[j] else 0.0
-    step = 1 / max(sum(share(k, j) for j in every) for k in every)
+
+    def sums(steps: list[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each domain's expected tokens, and the curvature of the documents with a rate above zero."""
+        rated = groups.withColumn("rate", rate_of(p, steps))
+        live = F.when(F.col("rate") > 0, t)
+        row = rated.agg(
+            *(F.sum(t * p[k] * F.col("rate")).alias(f"a{k}") for k in every),
+            *(F.sum(live * p[k] * p[j]).alias(f"g{k}{j}") for k in every for j in every),
+        ).first()
+        return np.array([row[f"a{k}"] or 0.0 for k in every]), np.array([[row[f"g{k}{j}"] or 0.0 for j in every] for k in every])
+
+    have, curve = sums([])
+    if not have.any():
+        return [], [0.0] * len(DOMAINS), [0.0] * len(DOMAINS)
+    # The targets follow from the weights and one total, whatever a domain has: scarce ones get rates above one.
     anchor = DOMAINS.index(mixing.anchor)
-    scale = have[anchor] / mixing.weights[anchor]
-    # A domain is not asked for more than it has: rates stay near one and no document is repeated for it.
-    targets = [min(w * scale, h) for w, h in zip(mixing.weights, have)]
+    targets = np.array(mixing.weights) * (have[anchor] / mixing.weights[anchor])
+    # The largest row of the scaled curvature bounds its largest eigenvalue, so steps this long cannot diverge.
+    own = np.where(np.diag(curve) > 0, np.diag(curve), np.inf)
+    gradient_scale = 1 / (np.abs(curve) / np.sqrt(np.outer(own, own))).sum(axis=1).max() / own
     steps: list[tuple[float, ...]] = []
+    off = lambda a: float((((a - targets) ** 2) / own).sum())
     for _ in range(mixing.steps):
-        rate = rate_of(p, steps)
-        now = groups.agg(*(F.sum(t * x * rate).alias(f"a{k}") for k, x in enumerate(p))).first()
-        miss = [now[f"a{k}"] - targets[k] for k in every]
-        if all(abs(m) <= mixing.tolerance * max(x, 1.0) for m, x in zip(miss, targets)):
+        miss = have - targets
+        if (np.abs(miss) <= mixing.tolerance * np.maximum(targets, 1.0)).all():
             break
-        steps.append(tuple(step * m / c if c > 0 else 0.0 for m, c in zip(miss, curve)))
-    return steps, targets
+        for way in (np.linalg.lstsq(curve, miss, rcond=1e-12)[0], gradient_scale * miss):
+            taken = tuple(float(x) for x in way)
+            reached, bend = sums([*steps, taken])
+            better = off(reached) < 0.5 * off(have)
+            if better:
+                break
+        if not off(reached) < (1 - 1e-6) * off(have):
+            break
+        steps, have, curve = [*steps, taken], reached, bend
+    if (np.abs(have - targets) > mixing.tolerance * np.maximum(targets, 1.0)).any():
+        warnings.warn(f"mixing: targets {targets.tolist()} not met, {have.tolist()} tokens reached", stacklevel=2)
+    return steps, targets.tolist(), have.tolist()
 
 
 def fitted(
     docs: DataFrame, labels: DataFrame, mixing: Mixing, id_col: str, text_col: str, source_col: str
-) -> tuple[DataFrame, list[tuple[float, ...]]]:
-    """row, doc_id, source, tokens, text_hash, p0, p1, p2 of every document, stored; and the steps of the rates."""
+) -> tuple[DataFrame, list[tuple[float, ...]], list[float | None], list[float | None]]:
+    """row, doc_id, source, tokens, text_hash, p0, p1, p2 of every document, stored; the rates' steps, targets and tokens reached."""
     known = stored(domains(labels), "domains")
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     lexicon = toxic_lexicon(texts, known, mixing)
@@ -246,7 +270,7 @@ def fitted(
     own = ("row", "doc_id", "source", "tokens", "text_hash")
     # Stored, so that rates read three numbers instead of the classifier's expressions once a step.
     posteriors = stored(table.select(*own, *(x.alias(f"p{k}") for k, x in enumerate(p))), "posteriors")
-    return posteriors, fit_steps(posteriors, mixing)[0] if labelled else []
+    return posteriors, *(fit_rates(posteriors, mixing) if labelled else ([], [None] * len(DOMAINS), [None] * len(DOMAINS)))
 
 
 def mixing_rates(
@@ -257,11 +281,19 @@ def mixing_rates(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, source, tokens, p_good, p_poor, p_toxic, rate for every document."""
-    posteriors, steps = fitted(docs, labels, mixing, id_col, text_col, source_col)
+    """doc_id, source, tokens, p_good, p_poor, p_toxic, rate for every document; target_good to reached_toxic are one of the run's.
+
+    Without labels there are no targets, and these are null.
+    """
+    posteriors, steps, targets, reached = fitted(docs, labels, mixing, id_col, text_col, source_col)
     rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
     named = (F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS))
-    return posteriors.select("doc_id", "source", "tokens", *named, rate.alias("rate"))
+    of_run = (
+        F.lit(v).cast("double").alias(f"{what}_{d}")
+        for what, values in (("target", targets), ("reached", reached))
+        for d, v in zip(DOMAINS, values)
+    )
+    return posteriors.select("doc_id", "source", "tokens", *named, rate.alias("rate"), *of_run)
 
 
 def mix(
@@ -272,14 +304,17 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The documents drawn at their rates, with all their columns; a rate of one or more keeps a document once.
+    """The documents drawn at their rates, with all their columns; a rate of 2.3 gives two copies, or three with a chance of 0.3.
 
     The draw is a hash of id and text, so it is the same on every run.
     """
     docs = numbered(docs)
-    posteriors, steps = fitted(docs, labels, mixing, id_col, text_col, source_col)
+    posteriors, steps, _, _ = fitted(docs, labels, mixing, id_col, text_col, source_col)
     if not steps:
         return docs.drop(ROW)
     rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 32)) / float(1 << 32)
-    return keep_rows(docs, posteriors.where(draw < rate).select(F.col("row").alias("keep_row")))
+    copies = fresh_name(docs, "copies")
+    drawn = posteriors.select(F.col("row").alias(ROW), F.floor(rate + 1 - draw - F.lit(2.0**-33)).cast("int").alias(copies))
+    met = docs.join(drawn.where(F.col(copies) > 0), ROW)
+    return met.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(quoted(c) for c in docs.columns if c != ROW))

@@ -148,6 +148,33 @@ def test_rates_meet_the_targets(spark):
     np.testing.assert_allclose([r.r for r in got], rate, atol=1e-9)
 
 
+def test_scarce_domains_are_raised_to_their_weights(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.2, 0.02, 0.002], 3000) * 0.999 + [0.0004, 0.0003, 0.0003]
+    tokens = rng.integers(1, 900, 3000)
+    rows = [(int(t), *map(float, r)) for t, r in zip(tokens, p)]
+    table = spark.createDataFrame(rows, "tokens long, p0 double, p1 double, p2 double")
+    own = p.T @ tokens
+    assert own[2] < 0.015 * own[0]
+    steps, targets, reached = mixing.fit_rates(table, mixing.Mixing())
+    assert targets == pytest.approx([own[0], own[0] * 0.04 / 0.94, own[0] * 0.02 / 0.94])
+    rate = slow_rates(tokens, p, steps)
+    assert rate.max() > 1 and p.T @ (tokens * rate) == pytest.approx(targets, rel=2e-3)
+    assert reached == pytest.approx(targets, rel=2e-3)
+
+
+def test_mixture_repeats_documents(spark, stored_docs, labels, monkeypatch):
+    docs = stored_docs([f"text {k}" for k in range(60)])
+    fitted = mixing.fitted
+
+    def twice(*args):
+        return fitted(*args)[0], [(-1.5, -1.5, -1.5)], None, None
+
+    monkeypatch.setattr(mixing, "fitted", twice)
+    found = Counter(r.doc_id for r in mixing.mix(docs, labels).collect())
+    assert set(found.values()) == {2, 3} and len(found) == 60
+
+
 def test_mixing_of_odd_rows(spark, stored_docs, labels):
     texts = ["plain words of text number %d and some more words" % k for k in range(60)]
     for k in range(0, 60, 4):
