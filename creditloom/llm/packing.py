@@ -252,6 +252,20 @@ def pack_documents(
     return source.mapInArrow(packed, schema)
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of ``pack_documents`` with a checksum of their ids instead of the ids."""
+    return pack_documents(docs).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "loss_tokens",
+    )
+
+
 def pack_examples(examples: DataFrame, limits: Limits, tokens_col: str, loss_col: str, id_col: str) -> DataFrame:
     """Whole examples of given token and loss counts: id, tokens, loss_tokens, sequence_id, offset.
 
