@@ -1,7 +1,8 @@
 """How the sources of a language differ in their words, in exact arithmetic.
 
 Texts become lower-cased terms. ``CountVectorizer`` is fitted per language with a minimum of documents and the largest integer as
-its vocabulary size, and turns documents into exact sparse vectors; sums of these by source are kept as rows (language, source,
+its vocabulary size, and turns documents into exact sparse vectors; what it is fitted on are lists that stand for the documents of
+a task, in which a term reaches the minimum if and only if it does in the documents; sums of these by source are kept as rows (language, source,
 term, count). A language with more distinct terms than ``section_terms`` is fitted in as many sections of its terms, so that no
 vocabulary that the driver or a broadcast holds exceeds that bound; sections add up to the whole language.
 
@@ -17,6 +18,8 @@ are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -35,6 +38,8 @@ from creditloom.session import fresh_path
 _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Sources of a block, entries of a cell, and pairs of entries that a cell looks at once.
 SOURCES, ENTRIES, AT_ONCE = 64, 50_000, 1_000_000
+#: Terms that a task counts before it passes its lists on.
+HELD = 400_000
 UNIT = 1_000_000_000
 
 
@@ -43,9 +48,9 @@ class Audit:
     least_documents: int = 3
     top: int = 200
     #: Distinct terms, rare ones included, that one fit may have about.
-    section_terms: int = 1_000_000
+    section_terms: int = 700_000
     #: Fits that run at the same time.
-    at_once: int = 4
+    at_once: int = 2
 
 
 def terms_of(texts: pa.Array) -> pa.ListArray:
@@ -65,64 +70,158 @@ def terms_of(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, borders).astype(np.int32)), values)
 
 
-def with_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, terms of every document, stored by language."""
-    own = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(""))
+def _by_folder(df: DataFrame, name: str) -> DataFrame:
+    """Rows of (lang, section, ..., terms), stored in a folder for each language and section, which ``folder`` names."""
+    path, spark = fresh_path(df.sparkSession, name), df.sparkSession
+    # A folder's name is the language in letters and digits.
+    folder = F.concat(F.lit("l"), F.hex(F.encode("lang", "utf-8")), F.lit("s"), F.col("section"))
+    df.withColumn("folder", folder).write.partitionBy("folder").parquet(path)
+    kinds = ", ".join(f"{n} {k}" for n, k in df.dtypes)
+    return spark.read.schema(f"{kinds}, folder string").parquet(path)
+
+
+def _chosen(docs: DataFrame, *cols: str) -> DataFrame:
+    """The given columns as text; null is ''."""
+    return docs.select(*(F.coalesce(quoted(c).cast("string"), F.lit("")).alias(f"c{k}") for k, c in enumerate(cols)))
+
+
+def sections_of(terms: pa.StringArray, sections: int) -> np.ndarray:
+    """The section of each term: a polynomial of its bytes, for a batch as a whole."""
+    ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    if not len(data):
+        return np.zeros(len(terms), np.int64)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.zeros(len(terms), np.uint64)
+    sums[sizes > 0] = np.add.reduceat(data * powers[place], ends[:-1][sizes > 0])
+    return ((sums ^ (sums >> np.uint64(31))) % np.uint64(sections)).astype(np.int64)
+
+
+def dealt(terms: pa.ListArray, sections: int) -> tuple[np.ndarray, pa.ListArray]:
+    """Each row's terms in sections: rows 0 to ``sections`` - 1 of the result are the first row's."""
+    sizes = np.diff(terms.offsets.to_numpy())
+    key = np.repeat(np.arange(len(terms)) * sections, sizes) + sections_of(terms.flatten(), sections)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(key, minlength=len(terms) * sections)))).astype(np.int32)
+    moved = terms.flatten().take(pa.array(np.argsort(key, kind="stable")))
+    return np.arange(len(terms) * sections) // sections, pa.ListArray.from_arrays(pa.array(offsets), moved)
+
+
+def condensed(docs: DataFrame, audit: Audit, text_col: str, lang_col: str) -> DataFrame:
+    """lang, section (0), level, terms: few documents that keep or drop the same terms as all documents do; stored.
+
+    Of the texts that a task has counted, level k lists the terms in at least k of them, up to the minimum of documents. A term is
+    in that minimum of all texts if and only if it is in as many of these lists.
+    """
+    least = audit.least_documents
+
+    def condense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for lang, found in counts.items():
+                for level in range(1, least + 1):
+                    terms = [t for t, n in found.items() if n >= level]
+                    columns = [[lang], [0], [level], [terms]]
+                    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary())]
+                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                    arrays[3] = arrays[3].cast(pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "section", "level", "terms"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = set(text.as_py().encode().translate(_LETTERS).split())
+                counts.setdefault(lang, Counter()).update(words)
+                if sum(map(len, counts.values())) > HELD:
+                    yield from lists()
+                    counts.clear()
+        yield from lists()
+
+    made = _chosen(docs, lang_col, text_col).mapInArrow(condense, "lang string, section int, level int, terms array<string>")
+    return stored(made, "condensed")
+
+
+def with_terms(docs: DataFrame, sections: dict[str, int], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """lang, section, source, terms, folder of every document; a language of several sections has a row for each."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), terms_of(batch.column(2))], ["lang", "source", "terms"]
-                )
-
-    chosen = docs.select(own(lang_col).alias("lang"), own(source_col).alias("source"), quoted(text_col).cast("string").alias("text"))
-    made = chosen.mapInArrow(split, "lang string, source string, terms array<string>")
-    # A folder's name is the language in letters and digits.
-    made = made.withColumn("folder", F.concat(F.lit("l"), F.hex(F.encode("lang", "utf-8"))))
-    path = fresh_path(docs.sparkSession, "terms")
-    made.write.partitionBy("folder").parquet(path)
-    kinds = "lang string, source string, terms array<string>, folder string"
-    return docs.sparkSession.read.schema(kinds).parquet(path)
-
-
-def section_counts(table: DataFrame, audit: Audit) -> DataFrame:
-    """source, term, n of the kept terms of one language or a section of it; stored. ``table`` has source and terms."""
+                langs, terms = batch.column(0).to_pylist(), terms_of(batch.column(2))
+                for n in sorted({sections[x] for x in langs}):
+                    rows = np.flatnonzero([sections[x] == n for x in langs])
+                    own = terms.take(pa.array(rows))
+                    # A language of one section has its terms as they are.
+                    at, own = (np.arange(len(rows)), own) if n == 1 else dealt(own, n)
+                    columns = [c.take(pa.array(rows[at])) for c in batch.columns[:2]]
+                    yield pa.RecordBatch.from_arrays(
+                        [columns[0], pa.array(np.arange(len(at)) % n, pa.int32()), columns[1], own],
+                        ["lang", "section", "source", "terms"],
+                    )
+
+    made = _chosen(docs, lang_col, source_col, text_col).mapInArrow(split, "lang string, section int, source string, terms array<string>")
+    return _by_folder(made, "terms")
+
+
+def _of_section(lists: DataFrame, section: int, sections: int) -> DataFrame:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = dealt(batch.column(0), sections)[1]
+                at = pa.array(np.arange(section, len(found), sections))
+                yield pa.RecordBatch.from_arrays([found.take(at)], ["terms"])
+
+    return lists if sections == 1 else lists.mapInArrow(own, "terms array<string>")
+
+
+def section_counts(lists: DataFrame, table: DataFrame, audit: Audit) -> DataFrame:
+    """source, at, term, n, every (n over all sources), head (once a term) of a language's or section's kept terms; stored.
+
+    ``lists`` has the terms of the condensed documents, ``table`` the source and terms of all.
+    """
     spark = table.sparkSession
     # A term no text can have, in enough documents to be kept: a fit without any term would fail.
     none = spark.range(audit.least_documents).select(F.array(F.lit(" ")).alias("terms"))
     counter = CountVectorizer(
         inputCol="terms", outputCol="vector", minDF=float(audit.least_documents), vocabSize=2**31 - 1
     )
-    model = counter.fit(table.select("terms").unionByName(none))
+    model = counter.fit(lists.unionByName(none))
     path = fresh_path(spark, "vocabulary")
     model.write().save(path)
     words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "term"))
     vector = F.unwrap_udt("vector")
     entry = F.explode(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("n"))).alias("e")
     entries = model.transform(table).select("source", entry).select("source", "e.at", F.col("e.n").cast("long").alias("n"))
-    summed = entries.groupBy("source", "at").agg(F.sum("n").alias("n"))
-    return stored(summed.join(words, "at").select("source", "term", "n"), "section-counts")
+    # One exchange by term serves its name and its sum over all sources.
+    summed = entries.groupBy("source", "at").agg(F.sum("n").alias("n")).repartition("at")
+    term = Window.partitionBy("at")
+    every, head = F.sum("n").over(term).alias("every"), (F.min("source").over(term) == F.col("source")).alias("head")
+    return stored(summed.join(words, "at").select("source", "at", "term", "n", every, head), "section-counts")
 
 
-def group_counts(terms: DataFrame, audit: Audit) -> DataFrame:
-    """lang, source, term, n: how often a source has each kept term of its language."""
-    sizes = terms.select("folder", "lang", F.explode_outer("terms").alias("term")).groupBy("folder", "lang")
+def group_counts(docs: DataFrame, audit: Audit, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """lang, source of every group; and lang, source, at, term, n, every, head: how often a source and its language have each kept term."""
+    lists = condensed(docs, audit, text_col, lang_col)
+    known = lists.where("level = 1").select("lang", F.explode_outer("terms").alias("term"))
     # A row for each language; the driver fits them one by one, a few at a time.
-    found = sizes.agg(F.approx_count_distinct("term").alias("n")).collect()
-    work = [(r.folder, r.lang, k, max(1, -(-r.n // audit.section_terms))) for r in sorted(found) for k in range(max(1, -(-r.n // audit.section_terms)))]
-
-    def fit(folder: str, lang: str, section: int, sections: int) -> DataFrame:
-        own = terms.where(F.col("folder") == folder).select("source", "terms")
-        if sections > 1:
-            part = lambda t: F.pmod(F.xxhash64(t), F.lit(sections)) == section
-            own = own.withColumn("terms", F.filter("terms", part))
-        return section_counts(own, audit).select(F.lit(lang).alias("lang"), "*")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("term").alias("n")).collect()}
+    sections = {lang: max(1, -(-n // audit.section_terms)) for lang, n in sorted(sizes.items())}
+    terms = with_terms(docs, sections, text_col, lang_col, source_col)
+
+    def fit(lang: str, section: int) -> DataFrame:
+        folder = f"l{lang.encode().hex().upper()}s{section}"
+        table = terms.where(F.col("folder") == folder).select("source", "terms")
+        own = _of_section(lists.where(F.col("lang") == lang).select("terms"), section, sections[lang])
+        # Numbers of terms are a section's own; with the section they are the language's.
+        at = (F.col("at") + (section << 32)).alias("at")
+        return section_counts(own, table, audit).select(F.lit(lang).alias("lang"), "source", at, "term", "n", "every", "head")
 
     with ThreadPoolExecutor(audit.at_once) as pool:
-        parts = list(pool.map(lambda w: fit(*w), work))
-    return reduce(DataFrame.unionByName, parts)
+        parts = list(pool.map(lambda w: fit(*w), [(lang, k) for lang, n in sections.items() for k in range(n)]))
+    return terms.where("section = 0").select("lang", "source").distinct(), reduce(DataFrame.unionByName, parts)
 
 
 def share(n: str, total: str, kept: str) -> Column:
@@ -134,17 +233,24 @@ def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def source_groups(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """gid, lang, source, total, kept, none (the share of a term it lacks), block, blocks of every group; stored."""
-    languages = counts.groupBy("lang").agg(F.count_distinct("term").alias("kept"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    every = terms.select("lang", "source").distinct()
-    sizes = every.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("blocks"))
-    whole = every.join(totals, ["lang", "source"], "left").join(languages, "lang", "left").join(sizes, "lang")
-    whole = whole.fillna(0, ["total", "kept"])
+def source_groups(every: DataFrame, counts: DataFrame) -> DataFrame:
+    """gid, lang, source, total, whole, kept, none (the share of a term it lacks), block, blocks, parts of every group; stored.
+
+    ``total`` is the group's number of occurrences, ``whole`` the language's, ``kept`` the language's number of terms.
+    """
+    sums = (F.sum("n").alias("total"), F.count("*").alias("terms"), F.count_if("head").alias("heads"))
+    own = every.join(counts.groupBy("lang", "source").agg(*sums), ["lang", "source"], "left").fillna(0)
+    own = stored(own, "source-totals")
+    languages = own.groupBy("lang").agg(
+        F.sum("total").alias("whole"),
+        F.sum("heads").alias("kept"),
+        F.ceil(F.count("*") / SOURCES).cast("int").alias("blocks"),
+        F.greatest(F.ceil(F.sum("terms") / ENTRIES), F.lit(1)).cast("int").alias("parts"),
+    )
+    met = own.drop("terms", "heads").join(languages, "lang")
     none = F.when(F.col("kept") > 0, share("0L", "total", "kept")).otherwise(F.lit(1))
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
-    return stored(whole.select(F.monotonically_increasing_id().alias("gid"), "*", none.alias("none"), block.alias("block")), "groups")
+    return stored(met.select(F.monotonically_increasing_id().alias("gid"), "*", none.alias("none"), block.alias("block")), "groups")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -202,15 +308,11 @@ def _pairs(found: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("gid", "other", "value"), joined)})
 
 
-def common_values(groups: DataFrame, entries: DataFrame) -> DataFrame:
+def common_values(entries: DataFrame) -> DataFrame:
     """What the terms that both sources of a pair have add to the base value, as sums by cell."""
-    sizes = entries.groupBy("lang").agg(F.ceil(F.count("*") / ENTRIES).cast("int").alias("parts"))
-    own = groups.select("gid", "block", "blocks", "none")
-    rows = entries.join(own, "gid").join(sizes, "lang").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
-
     def common(table: pa.Table) -> pa.Table:
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        term = table["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+        term = table["at"].to_numpy()
         order = np.argsort(term, kind="stable")
         term = term[order]
         gid, block, p, none = (table[c].to_numpy()[order] for c in ("gid", "block", "p", "none"))
@@ -233,7 +335,8 @@ def common_values(groups: DataFrame, entries: DataFrame) -> DataFrame:
             at = end
         return _pairs(found)
 
-    cells = _dealt(rows.select("lang", "part", "term", "gid", "block", "blocks", "p", "none"))
+    part = F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part")
+    cells = _dealt(entries.select("lang", part, "at", "gid", "block", "blocks", "p", "none"))
     return cells.groupBy("lang", "part", "low", "high").applyInArrow(common, PAIRS)
 
 
@@ -246,25 +349,19 @@ def source_divergence(
     docs: DataFrame, audit: Audit = Audit(), text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
     """lang, source, part, item, value, rank: ``pair`` rows against each other source, and the leading ``term`` rows."""
-    terms = with_terms(docs, text_col, lang_col, source_col)
-    if terms.isEmpty():
+    if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "lang string, source string, part string, item string, value long, rank int")
-    counts = group_counts(terms, audit)
-    groups = source_groups(terms, counts)
-    named = counts.join(groups.select("gid", "lang", "source", "total", "kept"), ["lang", "source"])
-    entries = stored(named.select("gid", "lang", "term", "n", share("n", "total", "kept").alias("p")), "entries")
+    every, counts = group_counts(docs, audit, text_col, lang_col, source_col)
+    groups = source_groups(every, counts)
+    entries = counts.join(groups, ["lang", "source"]).withColumn("p", share("n", "total", "kept"))
 
-    both = base_values(groups, entries).unionByName(common_values(groups, entries))
+    both = base_values(groups, entries).unionByName(common_values(entries))
     valued = both.groupBy("gid", "other").agg(F.sum("value").alias("value"))
     items = groups.select(F.col("gid").alias("other"), F.col("source").alias("item"))
     names = groups.select("gid", "lang", "source")
     pairs = _ranked(valued.join(items, "other").join(names, "gid"), "pair")
 
-    totals = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
-    whole = entries.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(totals, "lang")
-    whole = stored(whole.select("lang", "term", share("n", "total", "kept").alias("q")), "language-shares")
-    above = entries.join(whole, ["lang", "term"]).where("p > q")
-    value = F.expr("(p - q) * (p - q) div q")
-    told = above.select("gid", F.col("term").alias("item"), value.alias("value")).join(names, "gid")
+    above = entries.withColumn("q", share("every", "whole", "kept")).where("p > q")
+    told = above.select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
     leading = _ranked(told, "term").where(F.col("rank") <= audit.top)
     return pairs.unionByName(leading)
