@@ -7,15 +7,17 @@ A step needs three sums over all documents and changes a rate by a combination o
 rate is a function of the posteriors and of the steps so far; no rates travel.
 
 The anchor domain's target is what it has, and the others follow from the weights, so the anchor keeps its rate of about one;
-a domain scarcer than its weight gets rates above one, and its documents are repeated.
+a domain scarcer than its weight gets rates above one, up to a ceiling of copies, and its documents are repeated. A domain that does
+not reach its target even so has none, and a target that is null in the result.
 Sums are over documents grouped by equal posteriors, so copies and a hot source combine before the shuffle.
 
 The classifier's features are binned statistics of whole texts and the number of words from a lexicon, which is taken from a bounded
 sample of labelled documents (``sample``, the first by a hash of the id); its counts cover all labelled documents. What
 reaches the driver is a row per domain, feature and bin, per lexicon word, and three sums a step.
 
-Tokens are words between white space. Null texts count as empty: no tokens, and a posterior like any other. A null source
-is a source. Repeated rows are documents. Without labels every document is wholly good, with rate one.
+Tokens are words between white space. Null texts count as empty: no tokens, and a posterior like any other. Very long texts are
+measured whole. A null source is a source. Repeated rows are documents, and equal posteriors have equal rates. Without labels every
+document is wholly good, with rate one; an empty table gives no rows. Other columns are kept by ``mix`` and may have any name.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ class Mixing:
     least_documents: int = 5
     steps: int = 40
     tolerance: float = 1e-3
+    #: The most copies of a document.
+    ceiling: float = 8.0
+    #: Whether targets that are not met are an error.
+    strict: bool = False
 
     @property
     def weights(self) -> tuple[float, ...]:
@@ -188,71 +194,85 @@ def fit_posterior(table: DataFrame, known: DataFrame, lexicon: list[str]) -> Pos
     return Posterior(lexicon, *_log_shares(counted, names))
 
 
-def rate_of(posteriors: list[Column], steps: list[tuple[float, ...]]) -> Column:
-    """A document's rate after the given steps: each goes down the gradient and back to nonnegative rates."""
+def rate_of(posteriors: list[Column], steps: list[tuple[float, ...]], ceiling: float = Mixing.ceiling) -> Column:
+    """A document's rate after the given steps: each goes down the gradient and back to rates from zero to the ceiling."""
     if not steps:
         return F.lit(1.0)
     taken = F.array(*(F.struct(*(F.lit(v).alias(f"s{k}") for k, v in enumerate(s))) for s in steps))
-    move = lambda r, s: F.greatest(
-        F.lit(0.0), r - sum((posteriors[k] * s[f"s{k}"] for k in range(1, len(DOMAINS))), posteriors[0] * s["s0"])
-    )
-    return F.aggregate(taken, F.lit(1.0), move)
+    return F.aggregate(taken, F.lit(1.0), lambda r, s: _moved(r, posteriors, [s[f"s{k}"] for k in range(len(DOMAINS))], ceiling))
+
+
+def _moved(rate: Column, posteriors: list[Column], step: list, ceiling: float) -> Column:
+    down = sum((p * s for p, s in zip(posteriors[1:], step[1:])), posteriors[0] * step[0])
+    return F.least(F.lit(float(ceiling)), F.greatest(F.lit(0.0), rate - down))
 
 
-def fit_steps(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]], list[float]]:
+def fit_steps(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]], list[float | None]]:
     """Steps until every domain's expected tokens are within the tolerance; and the targets. See ``fit_rates``."""
     return fit_rates(table, mixing)[:2]
 
 
-def fit_rates(table: DataFrame, mixing: Mixing) -> tuple[list[tuple[float, ...]], list[float], list[float]]:
+def fit_rates(
+    table: DataFrame, mixing: Mixing
+) -> tuple[list[tuple[float, ...]], list[float | None], list[float]]:
     """Steps until every domain's expected tokens are within the tolerance; the targets; and the tokens reached.
 
-    ``table`` has tokens and the posteriors p0, p1, p2. The gradient of a document with tokens t and posterior p along
-    domain k is t p_k times the miss. A step goes by the curvature of the documents whose rates are not zero, and where
-    that does not bring the targets nearer, down the gradient, scaled by tokens and by the domain's own curvature.
-    Targets that no nonnegative rates meet (a domain in no document's posterior, say) end at the nearest; a warning says so.
+    ``table`` has tokens and the posteriors p0, p1, p2. What is made small is the sum of the squared relative misses. The gradient
+    of a document with tokens t and posterior p along domain k is t p_k times the miss. Of steps down the gradient, as it is and by
+    the curvature of the documents whose rates can still move, several lengths are tried in one pass, and the best is taken as long
+    as it lowers that sum. A domain that cannot reach its target with all its documents at the ceiling has no target (null), so it
+    moves no rates. Targets that cannot be met together end at the nearest: a warning says so, or an error if ``strict``.
     """
     p = [F.col(f"p{k}") for k in range(len(DOMAINS))]
     groups = stored(table.groupBy("p0", "p1", "p2").agg(F.sum("tokens").alias("tokens")), "posterior-groups")
-    t, every = F.col("tokens"), range(len(DOMAINS))
-
-    def sums(steps: list[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """Each domain's expected tokens, and the curvature of the documents with a rate above zero."""
-        rated = groups.withColumn("rate", rate_of(p, steps))
-        live = F.when(F.col("rate") > 0, t)
-        row = rated.agg(
-            *(F.sum(t * p[k] * F.col("rate")).alias(f"a{k}") for k in every),
-            *(F.sum(live * p[k] * p[j]).alias(f"g{k}{j}") for k in every for j in every),
-        ).first()
-        return np.array([row[f"a{k}"] or 0.0 for k in every]), np.array([[row[f"g{k}{j}"] or 0.0 for j in every] for k in every])
-
-    have, curve = sums([])
+    t, every, ceiling = F.col("tokens"), range(len(DOMAINS)), float(mixing.ceiling)
+
+    def sums(steps: list[tuple[float, ...]], trials: list[tuple[float, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each domain's expected tokens after each trial step, and the curvature of the documents whose rates can move."""
+        rated = groups.withColumn("rate", rate_of(p, steps, ceiling))
+        found = []
+        for n, trial in enumerate(trials):
+            rate = _moved(F.col("rate"), p, list(trial), ceiling)
+            live = F.when((rate > 0) & (rate < ceiling), t)
+            found += [F.sum(t * p[k] * rate).alias(f"a{n}_{k}") for k in every]
+            found += [F.sum(live * p[k] * p[j]).alias(f"g{n}_{k}{j}") for k in every for j in every]
+        row = rated.agg(*found).first()
+        value = lambda name: row[name] or 0.0
+        return [
+            (np.array([value(f"a{n}_{k}") for k in every]), np.array([[value(f"g{n}_{k}{j}") for j in every] for k in every]))
+            for n in range(len(trials))
+        ]
+
+    have, curve = sums([], [(0.0,) * len(DOMAINS)])[0]
     if not have.any():
         return [], [0.0] * len(DOMAINS), [0.0] * len(DOMAINS)
     # The targets follow from the weights and one total, whatever a domain has: scarce ones get rates above one.
     anchor = DOMAINS.index(mixing.anchor)
     targets = np.array(mixing.weights) * (have[anchor] / mixing.weights[anchor])
-    # The largest row of the scaled curvature bounds its largest eigenvalue, so steps this long cannot diverge.
-    own = np.where(np.diag(curve) > 0, np.diag(curve), np.inf)
-    gradient_scale = 1 / (np.abs(curve) / np.sqrt(np.outer(own, own))).sum(axis=1).max() / own
+    within = targets <= ceiling * have
+    scale = np.maximum(targets, 1.0)
+    miss_of = lambda a: np.where(within, (a - targets) / scale, 0.0)
+    off = lambda a: float((miss_of(a) ** 2).sum())
     steps: list[tuple[float, ...]] = []
-    off = lambda a: float((((a - targets) ** 2) / own).sum())
     for _ in range(mixing.steps):
-        miss = have - targets
-        if (np.abs(miss) <= mixing.tolerance * np.maximum(targets, 1.0)).all():
+        if (np.abs(miss_of(have)) <= mixing.tolerance).all():
             break
-        for way in (np.linalg.lstsq(curve, miss, rcond=1e-12)[0], gradient_scale * miss):
-            taken = tuple(float(x) for x in way)
-            reached, bend = sums([*steps, taken])
-            better = off(reached) < 0.5 * off(have)
-            if better:
-                break
-        if not off(reached) < (1 - 1e-6) * off(have):
+        bend = np.where(np.outer(within, within), curve / np.outer(scale, scale), 0.0)
+        newton = np.linalg.lstsq(bend, miss_of(have), rcond=1e-10)[0] / scale
+        gradient = miss_of(have) / max(np.linalg.eigvalsh(bend).max(), 1e-300) / scale
+        trials = [tuple(float(x) for x in f * way) for way, fs in ((newton, (1, 0.5, 0.2, 0.05)), (gradient, (3, 1, 0.3))) for f in fs]
+        tried = sums(steps, trials)
+        best = min(range(len(trials)), key=lambda n: off(tried[n][0]))
+        if not off(tried[best][0]) < (1 - 1e-4) * off(have):
             break
-        steps, have, curve = [*steps, taken], reached, bend
-    if (np.abs(have - targets) > mixing.tolerance * np.maximum(targets, 1.0)).any():
-        warnings.warn(f"mixing: targets {targets.tolist()} not met, {have.tolist()} tokens reached", stacklevel=2)
-    return steps, targets.tolist(), have.tolist()
+        steps, (have, curve) = [*steps, trials[best]], tried[best]
+    wanted = [float(x) if fine else None for x, fine in zip(targets, within)]
+    if (np.abs(miss_of(have)) > mixing.tolerance).any():
+        told = f"mixing: targets {wanted} not met, {have.tolist()} tokens reached"
+        if mixing.strict:
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=2)
+    return steps, wanted, have.tolist()
 
 
 def fitted(
@@ -286,7 +306,7 @@ def mixing_rates(
     Without labels there are no targets, and these are null.
     """
     posteriors, steps, targets, reached = fitted(docs, labels, mixing, id_col, text_col, source_col)
-    rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
+    rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps, mixing.ceiling)
     named = (F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS))
     of_run = (
         F.lit(v).cast("double").alias(f"{what}_{d}")
@@ -312,7 +332,7 @@ def mix(
     posteriors, steps, _, _ = fitted(docs, labels, mixing, id_col, text_col, source_col)
     if not steps:
         return docs.drop(ROW)
-    rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps)
+    rate = rate_of([F.col(f"p{k}") for k in range(len(DOMAINS))], steps, mixing.ceiling)
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 32)) / float(1 << 32)
     copies = fresh_name(docs, "copies")
     drawn = posteriors.select(F.col("row").alias(ROW), F.floor(rate + 1 - draw - F.lit(2.0**-33)).cast("int").alias(copies))

@@ -59,11 +59,10 @@ def test_repeated_rows_and_null_ids_keep_one(stored_docs):
 
 
 def test_equal_digests_of_unequal_bytes_stay_apart(stored_docs):
-    docs = stored_docs(["left", "right"])
-    from pyspark.sql import functions as F
+    from creditloom.llm.common import ROW, numbered
 
-    pairs = docs.select(F.lit(b"d").alias("digest"), F.monotonically_increasing_id().alias("row"))
-    a, b = sorted(r.row for r in pairs.collect())
+    docs = numbered(stored_docs(["left", "right"]))
+    a, b = sorted(r[ROW] for r in docs.collect())
     spark = docs.sparkSession
     made = spark.createDataFrame([(bytearray(b"d"), a, b), (bytearray(b"e"), a, a)], "digest binary, row_a long, row_b long")
     assert [bytes(r.digest) for r in exact_dedup.same_bytes(made, docs).collect()] == [b"e"]
