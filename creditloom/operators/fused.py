@@ -61,24 +61,25 @@ def summarise(events: DataFrame, *groups: Measures, keys: tuple[str, ...] = (KEY
     return grouped.select(*keys, *[c.alias(n) for n, c in measures.outs.items()])
 
 
-def by_key(df: DataFrame, key: str = KEY) -> DataFrame:
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a keyed table the way the grouped ones are."""
-    return df.repartition(key)
+    return df.repartition(*(keys or (KEY,)))
 
 
-def outer_merge(sides: dict[str, DataFrame], key: str = KEY, unpack: bool = True) -> DataFrame:
-    """Full outer join of one-row-per-key tables.
+def outer_merge(sides: dict[str, DataFrame], *keys: str, unpack: bool = True) -> DataFrame:
+    """Full outer join of tables with one row per user, or per combination of the given keys.
 
     Columns a side does not have for a key are NULL. With ``unpack=False`` each
     side stays one struct column, NULL where the key is absent.
     """
+    keys = keys or (KEY,)
     packed = []
     for name, df in sides.items():
-        columns = ", ".join(f"`{c}`" for c in df.columns if c != key)
-        packed.append(df.selectExpr(key, f"struct({columns}) as {name}"))
+        columns = ", ".join(f"`{c}`" for c in df.columns if c not in keys)
+        packed.append(df.selectExpr(*keys, f"struct({columns}) as {name}"))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
-    merged = stacked.groupBy(key).agg(*[F.first(name, ignorenulls=True).alias(name) for name in sides])
-    return merged.select(key, *[f"{name}.*" for name in sides]) if unpack else merged
+    merged = stacked.groupBy(*keys).agg(*[F.first(name, ignorenulls=True).alias(name) for name in sides])
+    return merged.select(*keys, *[f"{name}.*" for name in sides]) if unpack else merged
 
 
 def fill_zero(df: DataFrame, but: tuple[str, ...] = (KEY,)) -> DataFrame:

@@ -63,9 +63,13 @@ def week_spread(tag: str, prefix: str, spec: FeatureSpec) -> dict[str, Column]:
 STATS = ("min", "mean", "max", "median", "count", "sum", "std")
 
 
-def disjoint_windows(events: DataFrame, value: str, prefix: str, spec: FeatureSpec) -> DataFrame:
+def disjoint_windows(
+    events: DataFrame, value: str, prefix: str, spec: FeatureSpec, keys: tuple[str, ...] = (KEY,), times: str = "1"
+) -> DataFrame:
     """Seven statistics in each half-open day window (d1, d2], one wide row per key.
 
+    ``times`` is how many events a row stands for.
+
     Values are whole money units, so events are first counted per (key, window,
     value): combined before the shuffle, and spread over the cluster even if one
     key owns most events. What is left of a key, at most its distinct amounts per
@@ -78,12 +82,12 @@ def disjoint_windows(events: DataFrame, value: str, prefix: str, spec: FeatureSp
     for high in spec.day_edges[1:]:
         window = window.when(F.col("days") <= high, high)
     counted = (
-        events.select(KEY, window.alias("_win"), F.col(value).alias("_v"))
-        .groupBy(KEY, "_win", "_v")
-        .agg(F.count("_v").cast("double").alias("_n"))
-        .repartition(KEY)
+        events.select(*keys, window.alias("_win"), F.col(value).alias("_v"), F.expr(times).alias("_times"))
+        .groupBy(*keys, "_win", "_v")
+        .agg(F.sum(F.when(F.col("_v").isNull(), 0).otherwise(F.col("_times"))).cast("double").alias("_n"))
+        .repartition(*keys)
     )
-    whole = Window.partitionBy(KEY, "_win").orderBy("_v")
+    whole = Window.partitionBy(*keys, "_win").orderBy("_v")
     everything = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = counted.select(
         "*",
@@ -96,7 +100,7 @@ def disjoint_windows(events: DataFrame, value: str, prefix: str, spec: FeatureSp
     def at_rank(rank: Column) -> Column:
         return F.max(F.when((upto >= rank) & (upto - F.col("_n") < rank), F.col("_v")))
 
-    per_window = ranked.groupBy(KEY, "_win").agg(
+    per_window = ranked.groupBy(*keys, "_win").agg(
         F.min("_v").alias("min"),
         F.first("_mean").alias("mean"),
         F.max("_v").alias("max"),
@@ -105,7 +109,7 @@ def disjoint_windows(events: DataFrame, value: str, prefix: str, spec: FeatureSp
         F.sum(F.col("_v") * F.col("_n")).alias("sum"),
         F.sqrt(F.try_divide(F.sum(off * off * F.col("_n")), F.first(F.when(n > 1, n - 1)))).alias("std"),
     )
-    wide = per_window.groupBy(KEY).agg(
+    wide = per_window.groupBy(*keys).agg(
         *[
             F.expr(f"coalesce(max(if(_win = {d}, {stat}, null)), 0D) as {prefix}_{d}_{stat}")
             for d in spec.day_edges[1:]

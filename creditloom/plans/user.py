@@ -16,16 +16,20 @@ def _days_active(spec: FeatureSpec) -> F.Column:
     return clock.age_days_of_date(F.col("active_date"), spec.anchor)
 
 
-def user_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
-    """Age, limit, whole weeks since activation, and sex indicators."""
+def attributes(spec: FeatureSpec, days: F.Column) -> list[F.Column]:
+    """Age, limit, whole weeks since activation, and sex indicators; ``days`` is the number of days since activation."""
     sexes = one_hot("sex", "sex", spec.sexes)
-    return tables.user.select(
-        KEY,
+    return [
         F.col("age").cast("double").alias("age"),
         money.decode_rounded("limit").alias("limit"),
-        clock.weeks_of(_days_active(spec)).cast("double").alias("a_date"),
+        clock.weeks_of(days).cast("double").alias("a_date"),
         *[c.alias(n) for n, c in sexes.items()],
-    )
+    ]
+
+
+def user_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
+    """The attributes at the anchor."""
+    return tables.user.select(KEY, *attributes(spec, _days_active(spec)))
 
 
 def original_user_features(tables: Tables, spec: FeatureSpec) -> DataFrame:

@@ -12,7 +12,7 @@ from creditloom.models import boosting, segments
 from creditloom.operators import cohorts, metrics, profile, recency, sampling, windows
 from creditloom.operators.fused import KEY, Measures, outer_merge, summarise
 from creditloom.plans import click, cross, loan, matrix, order, original_click, original_loan, original_matrix
-from creditloom.plans import original_order, user
+from creditloom.plans import original_order, panes, user
 from creditloom.plans.events import click_events, loan_events, order_events, priced
 from creditloom.session import fresh_path
 from creditloom.sources import sinks
@@ -308,6 +308,12 @@ def split_matrix(t: Tables) -> DataFrame:
     return original_matrix.split_matrix(stored, cohorts.cohort_labels(t, TRAIN), SEED)
 
 
+def two_anchors(t: Tables) -> DataFrame:
+    """The training and the scoring matrix from one scan of each event table."""
+    labels = matrix.labels(t).withColumn("anchor", F.lit(TRAIN.anchor))
+    return panes.anchored_matrix(panes.open_panes(t, TRAIN), [TRAIN, SCORE], labels)
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 # Few rounds keep the registered queries quick; the settings' own defaults are the full ones.
@@ -546,6 +552,7 @@ def queries() -> dict[str, Query]:
         "q_labels": matrix.labels,
         "q_training_matrix": lambda t: matrix.training_matrix(t, TRAIN),
         "q_scoring_matrix": lambda t: matrix.scoring_matrix(t, SCORE),
+        "q_matrices_two_anchors": two_anchors,
         "q_v1_user": lambda t: user.original_user_features(t, TRAIN),
         "q_v1_loan": lambda t: original_loan.original_loan_features(t, TRAIN),
         "q_v1_loan_scoring": lambda t: original_loan.original_loan_features(t, SCORE),

@@ -181,7 +181,11 @@ def matrix_queries() -> dict[str, str]:
                cast(row_number() over (order by {hash_text()}, uid)
                     <= floor(0.2*(select count(*) from full_matrix)) as bigint) as held_out
         from full_matrix left join (select uid, cohort as label2 from cohorts where cohort>0) using (uid)"""
+    training, scoring = rounded(TRAIN, m.training(TRAIN)), rounded(SCORE, m.scoring(SCORE))
     return {
+        "q_matrices_two_anchors": f"""
+            select date '{TRAIN.day}' as anchor, * from ({training})
+            union all by name select date '{SCORE.day}' as anchor, * from ({scoring})""",
         "q_training_matrix": rounded(TRAIN, m.training(TRAIN)),
         "q_scoring_matrix": rounded(SCORE, m.scoring(SCORE)),
         "q_top_rows": rounded(TRAIN, m.training(TRAIN), tail="order by uid limit 10"),
