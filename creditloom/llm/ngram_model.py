@@ -28,9 +28,9 @@ from creditloom.llm.common import stored
 ORDER = 5
 BITS = 21
 CODE_POINTS = 0x110000
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: A shard answers about this many blocks' worth of n-grams.
-BLOCKS_A_SHARD = 10
+BLOCKS_A_SHARD = 20
 LEAST_SHARDS = 16
 LEAST_DISCOUNT = 0.05
 
@@ -140,10 +140,16 @@ def requests(bundled: DataFrame, shards: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            # One block at a time: a block is a row, and its arrays go before the next one's are made.
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
                 high, low, own = grams(_texts(r["text"], np.frombuffer(r["sizes"], "<i8")))
+                known = np.frombuffer(r["trusted"], np.uint8)[own] > 0
+                del own
                 h, lo, place = distinct(high, low)
-                n = np.bincount(place[np.frombuffer(r["trusted"], np.uint8)[own] > 0], minlength=len(h))
+                del high, low
+                n = np.bincount(place[known], minlength=len(h))
+                del place, known
                 shard = shard_of(h, lo, shards)
                 rows = []
                 for s in np.unique(shard).tolist():
