@@ -78,11 +78,6 @@ def month_slot(t: Column | str, spec: FeatureSpec) -> Column:
     return slot
 
 
-def in_window(t: Column | str, spec: FeatureSpec) -> Column:
-    """Observation window test on the stored time itself, so that it reaches the scan."""
-    return between(t, spec.start, spec.anchor)
-
-
 def between(t: Column | str, start: date, end: date) -> Column:
     t = _col(t)
     return (t >= F.lit(start)) & (t < F.lit(end))

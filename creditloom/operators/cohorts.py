@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.clock import between
 from creditloom.functions.coding import indicator
 from creditloom.operators.fused import KEY, by_key, outer_merge
 from creditloom.sources.tables import Tables
@@ -19,7 +18,7 @@ def borrowing_flags(tables: Tables, spec: FeatureSpec) -> DataFrame:
     """Every known user with: listed as user, borrowed in window, borrowed in target month."""
     t = F.col("loan_time")
     loans = (
-        tables.loan.where(between(t, spec.start, spec.target_end))
+        tables.during("loan", spec.start, spec.target_end)
         .groupBy(KEY)
         .agg(
             F.max(indicator(t < F.lit(spec.anchor))).alias("earlier"),
@@ -60,7 +59,7 @@ def first_month(tables: Tables, spec: FeatureSpec) -> DataFrame:
     """
     t = F.col("loan_time")
     return (
-        tables.loan.where(between(t, spec.start, spec.target_end))
+        tables.during("loan", spec.start, spec.target_end)
         .groupBy(KEY)
         .agg(F.min(t).alias("_t"))
         .select(KEY, _position("_t", spec).alias("first_month"))
@@ -71,7 +70,7 @@ def population_split(tables: Tables, train: FeatureSpec, score: FeatureSpec) ->
     """Model of each user: 1 with loans in the window, 2 without; at training and at scoring."""
 
     def borrowers(spec: FeatureSpec) -> DataFrame:
-        return tables.loan.where(between("loan_time", spec.start, spec.anchor)).groupBy(KEY)
+        return tables.during("loan", spec.start, spec.anchor).groupBy(KEY)
 
     sides = {
         "u": by_key(tables.user.select(KEY, F.lit(1).alias("listed"))),

@@ -43,15 +43,14 @@ def stacked_events(tables: Tables, spec: FeatureSpec) -> DataFrame:
 
     def pile(df: DataFrame, time: str, **adds: Column) -> DataFrame:
         levels = [adds.get(n, F.lit(None).cast("double")).alias(n) for n in LEVELS]
-        return df.where(clock.between(time, start, end)).select(
-            KEY, F.to_date(time).alias("day"), *levels
-        )
+        return df.select(KEY, F.to_date(time).alias("day"), *levels)
 
-    paid = priced(tables.order.where(clock.between("buy_time", start, end)), filled=False)
+    loans, orders, clicks = (tables.during(name, start, end) for name in ("loan", "order", "click"))
+    paid = priced(orders, filled=False)
     return (
-        pile(tables.loan, "loan_time", loan=money.decode_rounded("loan_amount"))
+        pile(loans, "loan_time", loan=money.decode_rounded("loan_amount"))
         .unionByName(pile(paid, "buy_time", paid=F.col("paid")))
-        .unionByName(pile(tables.click, "click_time", clicks=F.when(F.col("click_time").isNotNull(), 1.0)))
+        .unionByName(pile(clicks, "click_time", clicks=F.when(F.col("click_time").isNotNull(), 1.0)))
     )
 
 

@@ -1,6 +1,6 @@
 """Events of each table, decoded and placed relative to the anchor.
 
-Filters on time are on the stored column, so they reach the scan; columns a
+Filters on time are on stored columns, so they reach the scan; columns a
 feature group does not use are pruned from it.
 """
 
@@ -25,7 +25,7 @@ def _placed(df: DataFrame, time: str, spec: FeatureSpec) -> DataFrame:
 def loan_events(tables: Tables, spec: FeatureSpec, rounded: bool = True) -> DataFrame:
     """Loans in the window with decoded ``amount``."""
     decode = money.decode_rounded if rounded else money.decode_exact
-    loans = tables.loan.where(clock.in_window("loan_time", spec)).withColumn("amount", decode("loan_amount"))
+    loans = tables.during("loan", spec.start, spec.anchor).withColumn("amount", decode("loan_amount"))
     if spec.amount_band:
         low, high = spec.amount_band
         loans = loans.where((F.col("amount") > low) & (F.col("amount") <= high))
@@ -42,7 +42,7 @@ def loan_events(tables: Tables, spec: FeatureSpec, rounded: bool = True) -> Data
 
 def click_events(tables: Tables, spec: FeatureSpec) -> DataFrame:
     """Clicks in the window."""
-    clicks = tables.click.where(clock.in_window("click_time", spec)).select(
+    clicks = tables.during("click", spec.start, spec.anchor).select(
         KEY, "click_time", "pid", "param", clock.hour_bucket("click_time").alias("bucket")
     )
     return _placed(clicks, "click_time", spec)
@@ -54,7 +54,7 @@ def order_events(tables: Tables, spec: FeatureSpec, filled: bool = True) -> Data
     ``filled`` reads missing inputs as 0 and rounds decoded money; otherwise money
     is exact, and a purchase with a missing input has no paid price.
     """
-    return _placed(priced(tables.order.where(clock.in_window("buy_time", spec)), filled), "buy_time", spec)
+    return _placed(priced(tables.during("order", spec.start, spec.anchor), filled), "buy_time", spec)
 
 
 def priced(orders: DataFrame, filled: bool) -> DataFrame:

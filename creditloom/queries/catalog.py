@@ -143,7 +143,7 @@ def banded_loans(t: Tables) -> DataFrame:
 
 def active_borrowers(t: Tables) -> DataFrame:
     users = t.user.select(KEY, "age")
-    borrowers = t.loan.where(clock.in_window("loan_time", TRAIN))
+    borrowers = t.during("loan", TRAIN.start, TRAIN.anchor)
     inside = cohorts.among(users, borrowers).withColumn("borrower", F.lit(1))
     outside = cohorts.not_among(users, borrowers).withColumn("borrower", F.lit(0))
     return inside.unionByName(outside)
@@ -232,7 +232,7 @@ def downsampled(t: Tables) -> DataFrame:
 
 def rule_prediction(t: Tables) -> DataFrame:
     """Forecast by a fixed rule: the encoded total of the last observed month."""
-    last = t.loan.where(clock.between("loan_time", TRAIN.last_month_start, TRAIN.anchor))
+    last = t.during("loan", TRAIN.last_month_start, TRAIN.anchor)
     totals = last.groupBy(KEY).agg(money.encode(F.sum(money.decode_rounded("loan_amount"))).alias("pred"))
     return t.user.select(KEY).join(totals, KEY, "left").fillna(0.0, ["pred"])
 

@@ -7,11 +7,14 @@ projection except purchases, which pick up the buyer from their order.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.money import decode_rounded, encode
 from creditloom.session import use_utc
+from creditloom.sources.monotone import Retimed
 from creditloom.sources.tables import Tables
 
 # Epoch seconds of 2016-08-01, 1995-01-01 and 2024-01-01, and the time squeeze.
@@ -20,6 +23,10 @@ ORDER_EPOCH = 788918400
 EVENT_EPOCH = 1704067200
 ORDER_SQUEEZE = 5
 EVENT_STRETCH = 4
+LABEL_MONTH = (date(2016, 11, 1), date(2016, 12, 1))
+
+OF_ORDERS = Retimed(WINDOW_EPOCH, ORDER_EPOCH, squeeze=ORDER_SQUEEZE)
+OF_EVENTS = Retimed(WINDOW_EPOCH, EVENT_EPOCH, stretch=EVENT_STRETCH)
 
 
 # The columns used of each table; a stated schema spares a job that would read it off a file.
@@ -37,12 +44,6 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _squeezed(col: str) -> F.Column:
-    return F.timestamp_seconds(
-        F.lit(WINDOW_EPOCH) + F.expr(f"(unix_timestamp({col}) - {ORDER_EPOCH}) div {ORDER_SQUEEZE}")
-    )
-
-
 def _floored(col: F.Column) -> F.Column:
     return encode(F.floor(col))
 
@@ -61,7 +62,7 @@ def loans(orders: DataFrame) -> DataFrame:
     level = F.substring("o_orderpriority", 1, 1)
     return orders.select(
         F.col("o_custkey").alias("uid"),
-        _squeezed("o_orderdate").alias("loan_time"),
+        OF_ORDERS.of("o_orderdate").alias("loan_time"),
         _floored(F.col("o_totalprice")).alias("loan_amount"),
         F.when(level == "2", 3).when(level == "3", 6).when(level == "4", 12).otherwise(1).alias("plannum"),
     )
@@ -71,9 +72,7 @@ def clicks(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.select(
         F.col("user_id").alias("uid"),
-        F.timestamp_seconds(
-            F.lit(WINDOW_EPOCH) + (F.unix_timestamp("ts") - EVENT_EPOCH) * EVENT_STRETCH
-        ).alias("click_time"),
+        OF_EVENTS.of("ts").alias("click_time"),
         F.when(kind == "click", 1)
         .when(kind == "error", 2)
         .when(kind == "purchase", 3)
@@ -89,7 +88,7 @@ def purchases(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     discount = F.col("l_extendedprice") * F.col("l_discount") * 12
     return lineitem.join(buyers, "l_orderkey").select(
         "uid",
-        F.to_date(_squeezed("l_shipdate")).alias("buy_time"),
+        F.to_date(OF_ORDERS.of("l_shipdate")).alias("buy_time"),
         _floored(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").cast("int").alias("qty"),
         F.when(F.col("l_linenumber") != 7, _floored(discount)).alias("discount"),
@@ -98,7 +97,8 @@ def purchases(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def loan_sums(loan: DataFrame) -> DataFrame:
     """Next-month totals per user, the label of the training anchor."""
-    month = loan.where("loan_time >= timestamp'2016-11-01' and loan_time < timestamp'2016-12-01'")
+    start, end = (F.lit(day) for day in LABEL_MONTH)
+    month = loan.where((F.col("loan_time") >= start) & (F.col("loan_time") < end))
     return month.groupBy("uid").agg(encode(F.sum(decode_rounded("loan_amount"))).alias("loan_sum"))
 
 
@@ -106,12 +106,20 @@ def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The five inputs on top of the Parquet tables in ``sf_dir``."""
     use_utc(spark)
 
-    orders = scan(spark, sf_dir, "orders")
-    loan = loans(orders)
+    customer, orders, lineitem, events = (scan(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events"))
+
+    def loans_of(start: date, end: date) -> DataFrame:
+        return loans(OF_ORDERS.within(orders, "o_orderdate", start, end))
+
     return Tables(
-        user=users(scan(spark, sf_dir, "customer")),
-        loan=loan,
-        click=clicks(scan(spark, sf_dir, "events")),
-        order=purchases(scan(spark, sf_dir, "lineitem"), orders),
-        loan_sum=loan_sums(loan),
+        user=users(customer),
+        loan=loans(orders),
+        click=clicks(events),
+        order=purchases(lineitem, orders),
+        loan_sum=loan_sums(loans_of(*LABEL_MONTH)),
+        ranged={
+            "loan": loans_of,
+            "click": lambda start, end: clicks(OF_EVENTS.within(events, "ts", start, end)),
+            "order": lambda start, end: purchases(OF_ORDERS.within(lineitem, "l_shipdate", start, end), orders),
+        },
     )

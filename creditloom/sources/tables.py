@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditloom.functions.clock import between
+
 USER = T.StructType(
     [
         T.StructField("uid", T.LongType()),
@@ -52,15 +56,28 @@ LOAN_SUM = T.StructType(
 SCHEMAS = {"user": USER, "loan": LOAN, "click": CLICK, "order": ORDER, "loan_sum": LOAN_SUM}
 
 
+#: The time of each event table.
+TIMES = {"loan": "loan_time", "click": "click_time", "order": "buy_time"}
+
+
 @dataclass(frozen=True)
 class Tables:
-    """The inputs of a feature build. Every member is lazy."""
+    """The inputs of a feature build. Every member is lazy.
+
+    Tables with computed times also have a function in ``ranged`` that opens them for a range of days, from fewer stored rows.
+    """
 
     user: DataFrame
     loan: DataFrame
     click: DataFrame
     order: DataFrame
     loan_sum: DataFrame
+    ranged: dict[str, Callable[[date, date], DataFrame]] = field(default_factory=dict)
+
+    def during(self, name: str, start: date, end: date) -> DataFrame:
+        """The events of one table in [start, end)."""
+        events = self.ranged[name](start, end) if name in self.ranged else getattr(self, name)
+        return events.where(between(TIMES[name], start, end))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, format: str = "csv") -> DataFrame:
