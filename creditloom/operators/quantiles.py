@@ -1,4 +1,4 @@
-"""Exact quantiles of a column of any size."""
+"""Exact quantiles of columns of any size."""
 
 from __future__ import annotations
 
@@ -8,32 +8,42 @@ from pyspark.sql import functions as F
 from creditloom.session import shared_dir
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
-    """Linearly interpolated quantiles (``prob``, ``quantile``), without gathering the column.
+def value_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """_c (position of the column), _v, _n, _slice: how often each column has each value, in bounded sorted slices; checkpointed.
 
-    Distinct values are counted and range-partitioned. The partition number, made
-    permanent by a checkpoint, cuts the sorted column into slices of bounded size;
-    slice totals tell which slice holds a rank, and ranks are resolved inside it.
+    All columns go through one grouping and one range partitioning, so there is no loop over them. Values are counted before the
+    shuffle; NULL and NaN are missing. The partition number, made permanent by the checkpoint, cuts each sorted column into slices.
     """
     shared_dir(df.sparkSession)
-    placed = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("_v"))
+    cells = F.array(*[F.struct(F.lit(k).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for k, c in enumerate(columns)])
+    known = df.select(F.explode(cells).alias("e")).select("e.*").where("_v is not null and not isnan(_v)")
+    return (
+        known.groupBy("_c", "_v")
         .agg(F.count("*").alias("_n"))
-        .repartitionByRange("_v")
+        .repartitionByRange("_c", "_v")
         .withColumn("_slice", F.spark_partition_id())
         .checkpoint()
     )
-    # One row per slice: as many as there are shuffle partitions.
-    slices = placed.groupBy("_slice").agg(F.sum("_n").alias("_size"))
-    ordered = Window.partitionBy(F.lit(0)).orderBy("_slice")
+
+
+def quantiles_of(placed: DataFrame, probs: list[float]) -> DataFrame:
+    """Linearly interpolated quantiles (``_c``, ``prob``, ``quantile``) of every column of a value table.
+
+    Slice totals tell which slice holds a rank of a column, and ranks are resolved inside it, so no column is gathered.
+    """
+    # A row per slice and column: of a column as many as there are shuffle partitions.
+    slices = placed.groupBy("_c", "_slice").agg(F.sum("_n").alias("_size"))
+    column = Window.partitionBy("_c")
     slices = slices.select(
+        "_c",
         "_slice",
-        F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("_total"),
+        F.coalesce(
+            F.sum("_size").over(column.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_before"),
+        F.sum("_size").over(column).alias("_total"),
     )
-    within = Window.partitionBy("_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_upto", F.sum("_n").over(within)).join(slices, "_slice")
+    within = Window.partitionBy("_c", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.sum("_n").over(within)).join(slices, ["_c", "_slice"])
     last = F.col("_before") + F.col("_upto")  # 1-based rank of the last copy of a value
     first = last - F.col("_n") + 1
     picks = []
@@ -45,7 +55,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
             F.max(F.when((first <= high) & (high <= last), F.col("_v"))).alias(f"_hi{k}"),
             F.max(spot - F.floor(spot)).alias(f"_f{k}"),
         ]
-    one = ranked.agg(*picks)
+    found = ranked.groupBy("_c").agg(*picks)
     entries = [
         F.struct(
             F.lit(float(p)).alias("prob"),
@@ -53,4 +63,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
         )
         for k, p in enumerate(probs)
     ]
-    return one.select(F.inline(F.array(*entries)))
+    return found.select("_c", F.inline(F.array(*entries)))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
+    """Linearly interpolated quantiles (``prob``, ``quantile``) of one column; NULL where it has no value."""
+    wanted = df.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
+    return wanted.join(quantiles_of(value_table(df, [value]), probs).drop("_c"), "prob", "left")

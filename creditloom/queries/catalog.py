@@ -303,6 +303,11 @@ def materialized(t: Tables) -> DataFrame:
     return sinks.materialize(spark, lambda: loan.loan_features(t, TRAIN), path)
 
 
+def described_matrix(t: Tables) -> DataFrame:
+    made = matrix.training_matrix(t, TRAIN)
+    return profile.describe_frame(made, profile.numeric_columns(made, but=(KEY,)))
+
+
 def split_matrix(t: Tables) -> DataFrame:
     stored = _stored(original_matrix.original_training_matrix(t, TRAIN), "original-training")
     return original_matrix.split_matrix(stored, cohorts.cohort_labels(t, TRAIN), SEED)
@@ -583,6 +588,7 @@ def queries() -> dict[str, Query]:
         ),
         "q_downsample_negatives": downsampled,
         "q_profile": lambda t: profile.describe(t.loan_sum, "loan_sum"),
+        "q_describe_matrix": described_matrix,
         "q_value_counts": lambda t: profile.value_counts(cohorts.cohorts(t, TRAIN), "cohort"),
         "q_shape": lambda t: profile.shape(matrix.training_matrix(t, TRAIN)),
         "q_top_rows": lambda t: profile.top_rows(matrix.training_matrix(t, TRAIN), KEY, 10),

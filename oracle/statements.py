@@ -186,6 +186,13 @@ def matrix_queries() -> dict[str, str]:
         "q_matrices_two_anchors": f"""
             select date '{TRAIN.day}' as anchor, * from ({training})
             union all by name select date '{SCORE.day}' as anchor, * from ({scoring})""",
+        "q_describe_matrix": query(TRAIN, f"""
+            select "column", stat, value from (
+                select "column", {num('count(v)', 'count')}, {num('avg(v)', 'mean')}, {num('stddev_samp(v)', 'std')},
+                    {num('min(v)', 'min')}, {num('max(v)', 'max')}, {num('quantile_cont(v,0.25)', '25%')},
+                    {num('quantile_cont(v,0.5)', '50%')}, {num('quantile_cont(v,0.75)', '75%')}
+                from wide unpivot include nulls (v for "column" in (columns(* exclude (uid)))) group by "column"
+            ) unpivot include nulls (value for stat in (columns(* exclude ("column"))))""", wide=g.select(_doubles(m.training(TRAIN)))),
         "q_training_matrix": rounded(TRAIN, m.training(TRAIN)),
         "q_scoring_matrix": rounded(SCORE, m.scoring(SCORE)),
         "q_top_rows": rounded(TRAIN, m.training(TRAIN), tail="order by uid limit 10"),
