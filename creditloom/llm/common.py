@@ -28,7 +28,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._creditloom_path = path
+    return made
+
+
+def released(result: DataFrame, *stages: DataFrame) -> DataFrame:
+    """A stored result, once the stages that it was made from have been removed. Only what ``stored`` wrote is."""
+    if not hasattr(result, "_creditloom_path"):
+        raise ValueError("stages are needed until their result is stored")
+    context = result.sparkSession.sparkContext
+    for stage in stages:
+        path = context._jvm.org.apache.hadoop.fs.Path(stage._creditloom_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return result
 
 
 #: The column that numbers the rows of a stored table.

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import stored
+from creditloom.llm.common import released, stored
 
 ORDER = 5
 BITS = 21
@@ -234,9 +234,9 @@ def probabilities(counted: DataFrame) -> DataFrame | None:
         below = lower.select(F.col("high").alias("suffix_high"), F.col("low").alias("suffix_low"), F.col("prob").alias("below"))
         met = part.join(below.hint("merge"), ["suffix_high", "suffix_low"])
         prob = F.when(F.col("total") > 0, F.col("own") + F.col("rest") * F.col("below")).otherwise(F.col("below"))
-        kept = ["shard"] if order == ORDER else []
-        lower = stored(met.select(*kept, "high", "low", prob.alias("prob")), f"probabilities-{order}")
-    return lower.select("shard", "high", "low", F.log("prob").alias("log_prob"))
+        named = ("shard", "high", "low", F.log(prob).alias("log_prob")) if order == ORDER else ("high", "low", prob.alias("prob"))
+        lower = released(stored(met.select(*named), f"probabilities-{order}"), lower, tables[order - 1])
+    return lower
 
 
 def discounts(types: list[int]) -> list[float]:
@@ -294,9 +294,10 @@ def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     bundled = blocks(docs, trusted)
     shards = max(LEAST_SHARDS, -(-bundled.count() // BLOCKS_A_SHARD))
     asked = requests(bundled, shards)
-    probs = probabilities(counts(asked))
+    counted = counts(asked)
+    probs = probabilities(counted)
     if probs is None:
         return None
     heads = bundled.select(F.explode("head").alias("head")).withColumn("row", F.col("head.row"))
     found = surprise(bundled, answers(asked, probs), shards)
-    return stored(heads.join(found, "row").select("head", "n", "nats"), "surprise")
+    return released(stored(heads.join(found, "row").select("head", "n", "nats"), "surprise"), bundled, asked, counted, probs)

@@ -333,6 +333,18 @@ def test_pipeline_keeps_whole_and_right_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_stages_go_when_their_result_is_stored(spark):
+    from creditloom.llm.common import released, stored
+
+    first = stored(spark.range(10).toDF("k"), "first")
+    second = stored(first.selectExpr("k * 2 k"), "second")
+    with pytest.raises(ValueError):
+        released(second.where("k > 2"), first)
+    assert released(second, first) is second and second.count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.schema("k long").parquet(first._creditloom_path).count()
+
+
 def test_every_operator_is_registered():
     names = registry.queries().keys()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
