@@ -4,11 +4,12 @@ The method looks at candidates, runs of at least ``Windows.least`` letters, digi
 candidate; the counts of its characters change by one in and one out, and with them the Shannon entropy of
 each character class (hexadecimal, alphanumeric, base 64), so a step costs the same whatever the width. A candidate is
 a secret where a window of its narrowest class reaches that class's limit, unless the allow list knows it: identifiers of
-known form, text words joined by signs, and what the caller adds. Sequences (digits or letters in order, ten at
+known form, text words joined by signs (``plain_words``: long ones only if they can be pronounced), and what the caller adds. Sequences (digits or letters in order, ten at
 least) are left out of a candidate, and the rest of it is judged.
 
 Spans are in code points, ends exclusive. The method's spans have the kind ``entropy`` and leave out what a base
-span covers. Null texts count as empty, and have no spans. Candidates of any length are taken whole.
+span covers. Null texts count as empty, and have no spans. Candidates of any length are taken whole. Repeated rows are scanned
+again. Other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ _CANDIDATE_BYTES = bytes(1 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-"
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9][0-9_=+/-]*",
-    # Possessive: each character has one place in the pattern, so a miss takes one pass.
-    r"(?:[A-Z]?[a-z]++[_/=+-]*+)++",
-    r"(?:[A-Z]++[_/=+-]*+)++",
 )
+# Possessive: each character has one place in the pattern, so a miss takes one pass.
+_JOINED = re.compile(r"(?:[A-Z]?[a-z]++[_/=+-]*+)++|(?:[A-Z]++[_/=+-]*+)++")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONSONANTS = re.compile(r"[^AEIOUYaeiouy]{6}")
 
 
 def _ascending(characters: str, least: int = 10) -> str:
@@ -96,6 +98,21 @@ def max_entropy(text: str, width: int) -> float:
     return math.log2(width) - least / width
 
 
+def plain_words(text: str, short: int = 12) -> bool:
+    """Whether the text is words of one case joined by signs or capitals, and not letters in random order.
+
+    Words have three letters on average. One of more than ``short`` letters has to be pronounceable: a vowel in four letters at
+    least, and fewer than six consonants in a row.
+    """
+    if not _JOINED.fullmatch(text):
+        return False
+    words = _WORD.findall(text)
+    if sum(map(len, words)) < 3 * len(words):
+        return False
+    long = [w for w in words if len(w) > short]
+    return all(4 * sum(map(w.lower().count, "aeiouy")) >= len(w) and not _CONSONANTS.search(w) for w in long)
+
+
 def _class_limit(text: str, w: Windows) -> float:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return w.hex_limit
@@ -128,10 +145,10 @@ def entropy_spans(
             at += 1
         if any(s < end and e > start for s, e, _ in base[at : at + len(KINDS)]) or end - start < w.least:
             continue
-        if allowed.fullmatch(m[0]):
+        if allowed.fullmatch(m[0]) or plain_words(m[0]):
             continue
         word = _SEQUENCE.sub("", m[0])
-        if len(word) < w.least or word != m[0] and allowed.fullmatch(word):
+        if len(word) < w.least or word != m[0] and (allowed.fullmatch(word) or plain_words(word)):
             continue
         if max_entropy(word, w.width) >= _class_limit(word, w):
             found.append((start, end, "entropy"))
@@ -172,20 +189,24 @@ def secrets(
     return found.select("doc_id", "s.*")
 
 
-def redacted(docs: DataFrame, w: Windows = Windows(), text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The documents with every span in their text replaced; overlapping spans are one."""
+def redacted(
+    docs: DataFrame, w: Windows = Windows(), allow: tuple[str, ...] = (), text_col: str = "text", mark: str = "[secret]"
+) -> DataFrame:
+    """The documents with every span in their text replaced; overlapping spans are one. ``allow`` is that of ``secrets``."""
+    patterns = "|".join(f"(?:{a})" for a in (*ALLOWED, *allow))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _without(t, w, mark) for t in texts], dtype=object)
+        allowed = re.compile(patterns, re.DOTALL)
+        return pd.Series([None if t is None else _without(t, w, mark, allowed) for t in texts], dtype=object)
 
     return docs.withColumn(text_col, clean(quoted(text_col).cast("string")))
 
 
-def _without(text: str, w: Windows, mark: str) -> str:
+def _without(text: str, w: Windows, mark: str, allowed: re.Pattern) -> str:
     base = base_spans(text)
     pieces, at = [], 0
-    for start, end, _ in sorted([*base, *entropy_spans(text, base, w)]):
+    for start, end, _ in sorted([*base, *entropy_spans(text, base, w, allowed)]):
         if start >= at:
             pieces += [text[at:start], mark]
         at = max(at, end)
