@@ -3,9 +3,9 @@
 The field's variables are a document's candidate words, those with a digit, ``@`` or ``+``; all other words are known to
 hold no personal data. Its factors: a word's shape, the step between neighbouring candidates, and skip edges between
 distant candidates that repeat one another (the same letters and digits) or resemble one another (the same digits
-but for separators). Skip edges join each candidate to the one before it with the same key, so they grow with the text, not
-with its square. Loopy message passing in the log domain makes repeated mentions agree, so that a number written once in a
-form that the patterns know marks its other mentions.
+but for separators). Skip edges join each candidate to the one before it with the same key, and to the first one with that key that
+a pattern took, so they grow with the text, not with its square. Loopy message passing in the log domain, until messages
+stand still, makes repeated mentions agree, so that a number written once in a form that the patterns know marks its other mentions.
 
 The factors are fitted piecewise on the labels that the base patterns give over the whole corpus: shapes, steps and
 skips are categories, so their likeliest values are ratios of counts. A word that no pattern takes but that repeats one
@@ -16,7 +16,8 @@ fitting and inference work on those.
 
 Spans are in code points, ends exclusive. Base spans always stay; the method adds words (without the marks around
 them) whose marginal for a kind reaches ``sure`` and which no base span touches. Null texts count as empty, without
-spans. Repeated rows are judged alike.
+spans. Very long texts are judged whole. Repeated rows are judged alike. Of equal marginals the kind listed first is taken. Other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*+[0-9@+][^\x20\x09-\x0D]*+")
 _EDGE = "\"'()[]{}<>.,;:!?|*#$%&"
+#: The log odds that a skip edge can give at most.
+MOST_REWARD = 8.0
 #: Categories of a word's shape.
 SHAPES = 21 * 2 * 2 * 2 * 4 * 4 * 2
 
@@ -133,14 +136,22 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
 
 
 def skip_edges(rows: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of candidates: each with the last one before it that has the same key."""
+    """Pairs (i, j) of candidates: each with the last one before it that has the same key, and with the first known one."""
     pairs = []
+    labels = rows[:, 5].tolist()
     for column in (3, 4):
+        keys = rows[:, column].tolist()
+        known: dict[int, int] = {}
+        for j, key in enumerate(keys):
+            if key and labels[j] != NONE:
+                known.setdefault(key, j)
         last: dict[int, int] = {}
-        for j, key in enumerate(rows[:, column].tolist()):
+        for j, key in enumerate(keys):
             if key:
                 if key in last:
                     pairs.append((last[key], j))
+                if labels[j] == NONE and key in known:
+                    pairs.append((min(known[key], j), max(known[key], j)))
                 last[key] = j
     return np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
 
@@ -166,7 +177,8 @@ class Field:
         self.step = self._affinity(steps)
         kinds = skips[:NONE, :NONE]
         agree, differ = np.trace(kinds), kinds.sum() - np.trace(kinds)
-        reward = float(np.clip(np.log((agree + 20) / (differ + 1)), 1.0, 4.0))
+        # Mentions that patterns took one by one tell how far a repeat is to be believed.
+        reward = float(np.clip(np.log((agree + 20) / (differ + 1)), 1.0, MOST_REWARD))
         self.skip = np.diag([*[reward] * NONE, 0.0])
 
     @staticmethod
@@ -177,8 +189,8 @@ class Field:
         side = share.sum(axis=1)
         return np.clip(np.log(share / np.outer(side, side)), -4.0, 4.0)
 
-    def marginals(self, rows: np.ndarray, rounds: int = 6, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities of each candidate by loopy message passing; known base spans are clamped."""
+    def marginals(self, rows: np.ndarray, rounds: int = 100, damping: float = 0.3, still: float = 1e-8) -> np.ndarray:
+        """Label probabilities of each candidate by loopy message passing until no message moves by ``still``; known base spans are clamped."""
         n = len(rows)
         unary = self.unary[rows[:, 2]].copy()
         known = np.flatnonzero(rows[:, 5] != NONE)
@@ -199,7 +211,10 @@ class Field:
             cavity = belief[source] - message[back]
             new = np.logaddexp.reduce(cavity[:, :, None] + pair, axis=1)
             new -= np.logaddexp.reduce(new, axis=1)[:, None]
+            moved = np.abs(new - message).max(initial=0.0)
             message = damping * message + (1 - damping) * new
+            if moved <= still:
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None])

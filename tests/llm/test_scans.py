@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import string
 import re
 import time
 from collections import Counter
@@ -222,3 +223,29 @@ def test_sequences_hide_only_themselves():
         assert secrets.scan(text)[-1] == f"entropy:0:{len(text)}"
     for text in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef" * 3, "my-0123456789-and-other-words"):
         assert "entropy" not in secrets.scan(text)[-1]
+
+
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters])
+def test_letters_in_random_order_are_no_words(letters):
+    rng = random.Random(9)
+    found = sum("entropy" in secrets.scan("key " + "".join(rng.sample(letters, 22)) + " end")[-1] for _ in range(200))
+    assert found >= 150
+    for text in ("internationalisation-of-telecommunications", "someVeryLongIdentifierOfWords", "UNCOMMONLY_LONG_CONSTANT_NAME"):
+        assert secrets.scan(text)[-1] == ""
+
+
+def test_redacted_keeps_what_the_caller_allows(stored_docs):
+    key = "q7Zp0LxV2bN9dKfT4mWs8RyH"
+    docs = stored_docs([f"key {key} end"])
+    assert secrets.redacted(docs, allow=(key,)).first().text == f"key {key} end"
+
+
+def test_production_defaults_add_mentions_that_no_pattern_takes(stored_docs):
+    # Known mentions that repeat tell that repeats can be believed.
+    twice = [f"call +1 (017) 555-{k:04d} or +1-017-555-{k:04d} again" for k in range(2000)]
+    mixed = [f"call +1-018-555-{k:04d} now , words 1018555{k:04d} and more 1018555{k:04d}" for k in range(40)]
+    clean = [f"order 2018555{k:04d} of 3018555{k:04d}" for k in range(40)]
+    out = {r.doc_id: r for r in private_data.private_data(stored_docs([*twice, *mixed, *clean])).collect()}
+    added = [out[k].spans.count("phone") for k in range(len(twice), len(twice) + len(mixed))]
+    assert sum(n == 3 for n in added) >= 38
+    assert not any(out[k].spans for k in range(len(twice) + len(mixed), len(out)))
