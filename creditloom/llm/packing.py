@@ -140,16 +140,20 @@ class Packer:
             return
         self._put(piece)
         if len(self.pool) > self.limits.window:
-            yield from self._close(self._fill())
+            yield from self._filled()
 
     def finish(self) -> Iterator[tuple]:
         while self.pool:
-            pieces = self._fill()
-            length = sum(p[2] for p in pieces)
-            if self.cut and length < self.limits.tokens:
-                yield from self._powers_of_two(pieces, length)
-            else:
-                yield from self._close(pieces)
+            yield from self._filled()
+
+    def _filled(self) -> Iterator[tuple]:
+        """A sequence; one that ends at another limit than its tokens is cut into lengths that need no padding."""
+        pieces = self._fill()
+        length = sum(p[2] for p in pieces)
+        if self.cut and length < self.limits.tokens:
+            yield from self._powers_of_two(pieces, length)
+        else:
+            yield from self._close(pieces)
 
     def _put(self, piece: tuple) -> None:
         self.needs[len(self.pool)] = piece[2], 1, piece[3]
