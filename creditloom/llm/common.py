@@ -88,3 +88,26 @@ class Memo(dict):
     def room(self, more: int = 1) -> None:
         if len(self) + more > self.entries:
             self.clear()
+
+
+class Generations(dict):
+    """A dict that a Python worker keeps between batches, in two generations: what was used since the last turn, and before it.
+
+    ``turn`` is called between batches and drops the older generation once the younger is full, so entries in use stay.
+    """
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.older = entries, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def known(self, key) -> bool:
+        return key in self or key in self.older
+
+    def turn(self) -> None:
+        if len(self) > self.entries // 2:
+            self.older = dict(self)
+            self.clear()

@@ -10,7 +10,11 @@ character boundary the running sum equals what the library gives for the text cu
 a contraction or a special string that is cut short is encoded as it stands. Inside a multi-byte character
 the value is that of the bytes so far. Tables are as long as their texts.
 
-Null texts count as empty: no bytes, no tokens. Repeated rows are counted again. Other columns are ignored.
+The pass is made for many words together (``many_counts``): arrays hold the last token and the count of every word at a position,
+candidates are found by the bytes that end there, and tokens' compatibility is remembered in a table of fixed size.
+
+Null texts count as empty: no bytes, no tokens. Repeated rows are counted again. Very long texts are counted whole. Other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import Memo, quoted, vocabulary_path
+from creditloom.llm.common import Generations, quoted, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -38,6 +42,14 @@ _SPLIT = regex.compile(
     + rf"| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 _NO_PARENT = 1 << 60
+#: Marks that may end a word of letters and are split off it.
+_MARKS = ".,;:!?"
+#: Words up to so many bytes are counted together; longer ones one by one, by the same programme.
+_TOGETHER = 48
+#: Slots, as a power of two, of the table that remembers which tokens are compatible.
+_SLOTS = 20
+#: Bytes of text that are learnt at once.
+_AT_ONCE = 1 << 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +86,22 @@ class PrefixTable:
         self.token = {b: t for b, t in self.token.items() if t not in self.halves or self._made_last(t)}
         self.longest = max(map(len, self.token))
         self.done, self.last, self.count = b"", [0], [0]
-        self.chunks = Memo(memo_entries)
+        self.chunks, self.words = Generations(memo_entries), {}
+        self._tails = self._by_last_bytes()
+        self._pairs, self._pair_fits = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, bool)
+
+    def _by_last_bytes(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length of token: the sorted numbers that its last eight bytes make, and the tokens (none if longer than eight)."""
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for raw, token in self.token.items():
+            groups.setdefault(len(raw), []).append((int.from_bytes(raw[-8:], "big"), token))
+        made = {}
+        for length, group in groups.items():
+            keys = np.array([k for k, _ in group], np.uint64)
+            tokens = np.array([t for _, t in group], np.int64)
+            order = np.argsort(keys, kind="stable")
+            made[length] = (keys[order], tokens[order]) if length <= 8 else (np.unique(keys), tokens[:0])
+        return made
 
     # The dynamic programme.
 
@@ -153,9 +180,61 @@ class PrefixTable:
         self.done = word
         return count
 
+    def _fit_together(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs."""
+        key = before.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)
+        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+        fit, new = self._pair_fits[slot], np.flatnonzero(self._pairs[slot] != key)
+        if len(new):
+            asked, place = np.unique(key[new], return_inverse=True)
+            told = np.fromiter((self._first_merge(k >> 32, k & 0xFFFFFFFF) is None for k in asked.tolist()), bool, len(asked))
+            fit[new] = told[place]
+            # A later pair takes an earlier one's slot.
+            for k, s, f in zip(key[new].tolist(), slot[new].tolist(), fit[new].tolist()):
+                self._pairs[s], self._pair_fits[s] = k, f
+        return fit
+
+    def many_counts(self, words: list[bytes]) -> Iterator[bytes]:
+        """The tables of words of at most ``_TOGETHER`` bytes, the longest first: changes of the token count by byte."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width, n = int(sizes[0]), len(words)
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width).T.astype(np.uint64)
+        last, count = np.zeros((width + 1, n), np.int64), np.zeros((width + 1, n), np.int16)
+        tail = np.zeros(n, np.uint64)
+        for end in range(1, width + 1):
+            rows = np.arange(np.searchsorted(-sizes, -end, "right"))
+            tail = (tail << np.uint64(8)) | letters[end - 1]
+            # Exactly one token fits, so the order is free; short ones are the likeliest.
+            for length in range(1, min(end, self.longest) + 1):
+                if not len(rows):
+                    break
+                if length not in self._tails:
+                    continue
+                keys, tokens = self._tails[length]
+                asked = tail[rows] & np.uint64((1 << 8 * min(length, 8)) - 1)
+                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit, start = np.flatnonzero(keys[place] == asked), end - length
+                if length <= 8:
+                    token = tokens[place[hit]]
+                else:
+                    found = [self.token.get(words[r][start:end], -1) for r in rows[hit].tolist()]
+                    token = np.array(found, np.int64)
+                    hit, token = hit[token >= 0], token[token >= 0]
+                if start:
+                    fits = self._fit_together(last[start, rows[hit]], token)
+                    hit, token = hit[fits], token[fits]
+                own = rows[hit]
+                last[end, own], count[end, own] = token, count[start, own] + 1
+                rows = np.delete(rows, hit)
+        steps = np.ascontiguousarray((count[1:] - count[:-1]).T.astype(np.int8)).tobytes()
+        return (steps[k * width : k * width + len(w)] for k, w in enumerate(words))
+
     # From words to texts.
 
     def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is not None:
+            return known
         raw = word.encode()
         count = [*range(len(raw)), self.counts(raw)[-1]] if word in CONTRACTIONS else self.counts(raw)
         return bytes([(b - a) & 0xFF for a, b in zip(count, count[1:])])
@@ -186,32 +265,48 @@ class PrefixTable:
         for special in self.special:
             if special in text:
                 return self._with_specials(text)
-        known, found = self.chunks.get, []
-        for chunk in text.split(" "):
-            part = known(chunk)
-            if part is None:
-                # White space at an edge takes part in a longer run, which only the whole text shows.
-                if not chunk or chunk[0] in WHITE or chunk[-1] in WHITE:
-                    return self._plain(text)
-                part = self._chunk(chunk)
-            found.append(part)
-        found[0] = self._plain(text.split(" ", 1)[0])
-        return b"".join(found)
-
-    def _chunk(self, chunk: str) -> bytes:
-        known = self._word(" " + chunk) if chunk.isalpha() else self._plain(" " + chunk)
-        self.chunks.room()
-        self.chunks[chunk] = known
-        return known
+        first, *rest = text.split(" ")
+        try:
+            return b"".join([self._plain(first), *map(self.chunks.__getitem__, rest)])
+        except KeyError:
+            # White space at an edge takes part in a longer run, which only the whole text shows; or nothing was learnt.
+            return self._plain(text)
 
     def learn(self, texts: list[str]) -> None:
-        """Fill the memo for some texts in sorted order, in which words share the most work."""
+        """Fill the memo with the chunks of some texts, whose words are counted together."""
+        self.chunks.turn()
         new = set()
         for text in texts:
             new.update(text.split(" "))
-        for chunk in sorted(c for c in new if c not in self.chunks):
-            if chunk and chunk[0] not in WHITE and chunk[-1] not in WHITE:
-                self._chunk(chunk)
+        chunks, words = {}, set()
+        for chunk in new:
+            if not chunk or self.chunks.known(chunk) or chunk[0] in WHITE or chunk[-1] in WHITE:
+                continue
+            if chunk.isalpha():
+                words.add(" " + chunk)
+            elif chunk[-1] in _MARKS and chunk[:-1].isalpha():
+                words.update((" " + chunk[:-1], chunk[-1]))
+            else:
+                words.update(_SPLIT.findall(" " + chunk))
+            chunks[chunk] = chunk.isalpha()
+        words.difference_update(CONTRACTIONS)
+        spelled = sorted(((w.encode(), w) for w in words if len(w) <= _TOGETHER), key=lambda x: -len(x[0]))
+        spelled = [x for x in spelled if len(x[0]) <= _TOGETHER]
+        if spelled:
+            self.words = dict(zip((w for _, w in spelled), self.many_counts([raw for raw, _ in spelled])))
+        for chunk, plain in chunks.items():
+            if plain:
+                table = self._word(" " + chunk)
+            elif chunk[-1] in _MARKS and chunk[:-1].isalpha():
+                table = self._word(" " + chunk[:-1]) + self._word(chunk[-1])
+            else:
+                table = self._plain(" " + chunk)
+            self.chunks[chunk] = table
+
+    def tables(self, texts: list[str]) -> Iterator[bytes]:
+        self.learn(texts)
+        yield from map(self.table, texts)
+        self.words = {}
 
     def _with_specials(self, text: str) -> bytes:
         pieces, rest = [], text
@@ -252,11 +347,14 @@ def prefix_table(path: str) -> PrefixTable:
 
 
 def _tables(vocabulary: str, texts: Iterable[str | None]) -> Iterator[bytes]:
-    made, texts = prefix_table(vocabulary_path(vocabulary)), list(texts)
-    for k in range(0, len(texts), 2000):
-        some = [t or "" for t in texts[k : k + 2000]]
-        made.learn(some)
-        yield from map(made.table, some)
+    made, some, size = prefix_table(vocabulary_path(vocabulary)), [], 0
+    for text in texts:
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= _AT_ONCE:
+            yield from made.tables(some)
+            some, size = [], 0
+    yield from made.tables(some)
 
 
 def token_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -33,6 +33,15 @@ def test_every_prefix_counts_as_the_library_counts_it(text):
         assert counts[len(text[:k].encode())] == library(text[:k])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), max_size=4))
+def test_texts_learnt_together_count_as_the_library_counts_them(texts):
+    for text, made in zip(texts, table().tables(texts), strict=True):
+        counts = token_counts.prefix_counts(made)
+        for k in range(len(text) + 1):
+            assert counts[len(text[:k].encode())] == library(text[:k])
+
+
 def test_budgets_are_answered_from_the_table():
     text = "Tokens of a näive text, cut where a budget says. " * 5
     made = table().table(text)
@@ -119,3 +128,30 @@ def test_query_digest_is_of_the_ids(stored_docs):
     (piece,) = [r for r in corpus_pipeline.packed_pieces(docs).collect() if r.start == 0]
     ids = [*WORDS.encode("some words here", add_special_tokens=False).ids, 2][: piece.length]
     assert piece.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_words_counted_together_equal_words_counted_alone():
+    one = table()
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aeinrst ,.\u00e9\u4e2d9-") for _ in range(rng.randint(1, 14))).encode() for _ in range(3000)}
+    words |= {b" internationalisation", b"a" * 40, b"=" * 33}
+    ordered = sorted(words, key=lambda w: -len(w))
+    for word, made in zip(ordered, one.many_counts(ordered)):
+        alone = one.counts(word)
+        assert np.cumsum(np.frombuffer(made, np.int8), dtype=np.int64).tolist() == alone[1:], word
+
+
+def test_a_full_memo_keeps_what_is_in_use():
+    small = token_counts.PrefixTable(str(public_tokenizers.path("byte_bpe_50k.json")), memo_entries=8)
+    for k in range(50):
+        text = " ".join(f"word{n} kept" for n in range(k, k + 7))
+        (made,) = small.tables([text])
+        assert token_counts.count_at(made, len(made)) == library(text)
+
+
+def test_sequences_that_end_at_the_segment_limit_need_no_padding(stored_docs):
+    docs = stored_docs(["a b"] * 500)
+    lengths = defaultdict(int)
+    for p in packing.pack_documents(docs, packing.Limits(segments=5, window=16)).collect():
+        lengths[p.sequence_id] += p.length
+    assert all(n & (n - 1) == 0 for n in lengths.values())
