@@ -1,8 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is that of ``ngram_model``: n-grams of characters as they are, counted over all trusted text and looked up by
-sharded keys. The smaller model of ``SYMBOLS`` character classes (``fit``) is a function for callers who want a table of
-fixed size; no query uses it.
+sharded keys.
 
 A document's score is its mean surprise a character, drawn towards its language's mean by ``prior`` characters, so
 that short documents are not judged by a few letters; its perplexity is also given. The limit of a language is a
@@ -11,19 +10,15 @@ fewer than ``least`` trusted documents use the limit of all languages. Quantiles
 nat and the same on every run, because they are read off counts.
 
 Null texts count as empty: no characters, perplexity 1, never rejected. A null language is a language of its own.
-Without trusted text nothing is rejected. Repeated rows are judged alike, and repeated trusted ids count once.
+Without trusted text nothing is rejected. Repeated rows are judged alike, and repeated trusted ids count once. Very long texts are
+scored whole; an empty table gives no rows. Other columns may have any name. Ids are numbers, as the labels' are.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,61 +26,8 @@ from creditloom.llm import ngram_model
 from creditloom.llm.common import ROW, numbered, quoted, stored
 from creditloom.llm.exact_dedup import keep_rows
 
-SYMBOLS = 40
-ORDER = 4
-_SIZE = SYMBOLS**ORDER
 #: Scores are counted in steps of this many nats.
 STEP = 0.001
-#: Every context passes something on to the lower orders, so that no symbol is impossible.
-LEAST_DISCOUNT = 0.05
-
-
-def _symbol_table() -> np.ndarray:
-    """The class of every code point below 65,536: word space, letters, capitals, digits, marks, other letters."""
-    table = np.zeros(65536, np.uint8)
-    for code in range(65536):
-        char = chr(code)
-        if "a" <= char <= "z":
-            table[code] = 1 + code - ord("a")
-        elif char.isupper():
-            table[code] = 27
-        elif char.isdigit():
-            table[code] = 28
-        elif char in ".,\n":
-            table[code] = 29 + ".,\n".index(char)
-        elif char.isspace():
-            table[code] = 0
-        elif char in "!?;:'\"-()":
-            table[code] = 32
-        elif char.isalpha():
-            table[code] = 34 + code % 6
-        else:
-            table[code] = 33
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def symbols(text: str | None) -> np.ndarray:
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    return _TABLE[np.minimum(points, 65535)]
-
-
-def codes(classes: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each character; before the first character there is word space."""
-    padded = np.concatenate((np.zeros(ORDER - 1, np.int64), classes.astype(np.int64)))
-    code = padded[: len(classes)]
-    for k in range(1, ORDER):
-        code = code * SYMBOLS + padded[k : k + len(classes)]
-    return code
-
-
-@dataclass
-class Model:
-    """log_probs: natural logarithm of each n-gram's last symbol given the others."""
-
-    log_probs: np.ndarray
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -93,72 +35,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id")
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """code, n over all text of the trusted documents. Texts meet the labels as compressed classes."""
-
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(symbols(t).tobytes(), 1) for t in texts], dtype=object)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(_SIZE, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found, n = np.unique(codes(np.frombuffer(zlib.decompress(data), np.uint8)), return_counts=True)
-                totals[found] += n
-        found = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(totals[found])], ["code", "n"])
-
-    texts = docs.select(quoted(id_col).cast("long").alias("id"), packed(quoted(text_col).cast("string")).alias("classes"))
-    ids = trusted.select(F.col("doc_id").cast("long").alias("id"))
-    # By shuffle at any size: the labels grow with the corpus.
-    counted = texts.join(ids.hint("merge"), "id", "left_semi").select("classes").mapInArrow(count, "code long, n long")
-    return stored(counted.groupBy("code").agg(F.sum("n").alias("n")), "ngrams")
-
-
-def kneser_ney(counts: DataFrame) -> Model | None:
-    """The model from the highest order's counts; None if there are none.
-
-    Lower orders count the distinct symbols that precede an n-gram. Of each n-gram a discount is taken by its count
-    (1, 2, 3 or more), and a context's discounts go to the next lower order.
-    """
-    tables, code, n = [counts], F.col("code"), F.col("n")
-    for order in range(ORDER - 1, 0, -1):
-        suffix = (code % SYMBOLS**order).alias("code")
-        tables.append(stored(tables[-1].groupBy(suffix).agg(F.count("*").alias("n")), "continuations"))
-    rare = [
-        t.where("n <= 4").groupBy("n").agg(F.count("*").alias("types")).withColumn("k", F.lit(k))
-        for k, t in enumerate(tables)
-    ]
-    spectrum = reduce(DataFrame.unionByName, rare)
-    kinds = {(r.k, r.n): r.types for r in spectrum.collect()}
-    dense = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for k in range(ORDER - 1, -1, -1):
-        order = ORDER - k
-        seen = tables[k].withColumn("context", F.floor(code / SYMBOLS).cast("long"))
-        n1, n2, n3, n4 = (kinds.get((k, i), 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        cuts = [
-            min(max(i - (i + 1) * y * b / a if a and b else y, LEAST_DISCOUNT), float(i))
-            for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))
-        ]
-        cut = F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
-        totals = seen.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("held"))
-        shares = seen.join(totals, "context").select(
-            code, ((n - cut) / F.col("total")).alias("own"), "context", (F.col("held") / F.col("total")).alias("rest")
-        )
-        # At most SYMBOLS ** order rows, whatever the corpus.
-        rows = shares.toArrow()
-        if not rows.num_rows:
-            return None
-        own, rest = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        own[rows["code"].to_numpy()] = rows["own"].to_numpy()
-        rest[rows["context"].to_numpy()] = rows["rest"].to_numpy()
-        lower = np.tile(dense, SYMBOLS) if order > 1 else dense
-        dense = own + np.repeat(rest, SYMBOLS) * lower
-    return Model(np.log(dense).astype(np.float32))
-
-
 def _quantiles(counts: dict[int, int], shares: tuple[float, ...]) -> list[float]:
     steps = sorted(counts)
     reached = np.cumsum([counts[s] for s in steps])
@@ -226,12 +102,6 @@ def language_limits(scored: DataFrame, cut: Cut) -> Limits | None:
     return limits
 
 
-def fit(
-    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> Model | None:
-    return kneser_ney(ngram_counts(docs, trusted, id_col, text_col))
-
-
 def perplexities(
     docs: DataFrame,
     labels: DataFrame,

@@ -11,59 +11,6 @@ import corpus_pipeline
 from creditloom.llm import language_model, mixing, ngram_model, url_rules
 
 
-def slow_kneser_ney(texts):
-    """Probabilities of the last symbol of any n-gram, straight from the definition."""
-    s, order = language_model.SYMBOLS, language_model.ORDER
-    counts = Counter()
-    for text in texts:
-        for code in language_model.codes(language_model.symbols(text)).tolist():
-            counts[code] += 1
-    tables = [counts]
-    for k in range(order - 1, 0, -1):
-        tables.append(Counter(code % s**k for code in tables[-1]))
-    cuts, contexts = [], []
-    for table in tables:
-        n1, n2, n3, n4 = (sum(v == i for v in table.values()) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        cut = [0.0]
-        for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)):
-            cut.append(min(max(i - (i + 1) * y * b / a if a and b else y, language_model.LEAST_DISCOUNT), float(i)))
-        cuts.append(cut)
-        by = defaultdict(list)
-        for code, n in table.items():
-            by[code // s].append(n)
-        contexts.append(by)
-
-    def chance(code, k=0):
-        size = order - k
-        if size == 0:
-            return 1 / s
-        lower = chance(code % s ** (size - 1) if size > 1 else 0, k + 1)
-        seen = contexts[k].get(code // s)
-        if not seen:
-            return lower
-        cut = lambda n: cuts[k][min(n, 3)]
-        n = tables[k].get(code, 0)
-        own = (n - cut(n)) / sum(seen) if n else 0.0
-        return own + sum(map(cut, seen)) / sum(seen) * lower
-
-    return chance
-
-
-def test_language_model_equals_the_definition(spark, stored_docs):
-    texts = ["the cat sat on the mat.", "the dog sat, and the cat ran", "A mat!", "le chat est là", None, ""]
-    docs = stored_docs(texts)
-    trusted = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,), (5,), (5,)], "doc_id long")
-    model = language_model.fit(docs, trusted)
-    chance = slow_kneser_ney([t or "" for t in texts])
-    probe = language_model.codes(language_model.symbols("the catXq 9 zzz\nle mat")).tolist()
-    for code in probe:
-        assert math.exp(model.log_probs[code]) == pytest.approx(chance(code), rel=1e-4)
-    s = language_model.SYMBOLS
-    for context in (0, 17, probe[3] // s):
-        assert np.exp(model.log_probs[context * s : (context + 1) * s]).sum() == pytest.approx(1, rel=1e-4)
-
-
 def test_language_model_rejects_noise_and_keeps_text(spark, stored_docs, labels):
     random.seed(1)
     words = "the of and cat dog house tree water light stone river small great old".split()
