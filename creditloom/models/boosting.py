@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.coding import binarised, clamped, decided
@@ -21,6 +23,8 @@ from creditloom.models.segments import feature_columns
 from creditloom.operators.fused import KEY, fill_zero
 from creditloom.operators.metrics import squared_error
 from creditloom.operators.sampling import fold_id
+from creditloom.session import fresh_path
+from creditloom.sources.sinks import materialize, release
 
 
 @dataclass(frozen=True)
@@ -74,20 +78,78 @@ def rounds_with_patience(errors: list[float], patience: int) -> int:
     return best + 1
 
 
+def joined_trees(spark: SparkSession, trees: list, weights: list[float]) -> GBTRegressionModel:
+    """One boosted model of single trees and their weights."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    made = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    sizes = gateway.new_array(gateway.jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, weights)):
+        made[k], sizes[k] = tree._java_obj, float(weight)
+    uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("gbtr")
+    model = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, made, sizes))
+    return model.setFeaturesCol("features").setPredictionCol("pred")
+
+
 def fit_with_patience(
-    df: DataFrame, features: list[str], settings: Boosting, validation: str, patience: int = 100
+    df: DataFrame, features: list[str], settings: Boosting, validation: str, patience: int = 100, block: int = 25
 ) -> tuple[PipelineModel, int]:
-    """Boost on the unflagged rows, find the best round on the flagged ones, and fit that many rounds again.
-
-    Spark's own stopping ends at the first round whose error rises; here one bad round ends nothing.
+    """Boost on the unflagged rows until the flagged ones have not been predicted better for ``patience`` rounds.
+
+    Spark's own stopping ends at the first round whose error rises, and its boosting cannot be continued, so rounds
+    are fitted one by one: each is a tree on what the model so far leaves over, as in Spark's boosting, where the first
+    tree counts fully and each later one, fitted to twice what is left (the slope of the squared error), by the step. After every ``block`` rounds the held-out errors of all of them come
+    from one pass, and what is left over is written to the shared folder, which cuts the lineage; a lost executor
+    costs at most a block. Returns the model up to its best round, and that round, from 1. No held-out row, or one
+    round only, leaves nothing to choose: then all rounds are kept.
     """
-    train, held = df.where(~F.col(validation)), df.where(F.col(validation))
-    whole = fit_regressor(train, features, settings)
-    errors = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(held), "squared")
-    best = rounds_with_patience(errors, patience)
-    if best == settings.rounds:
-        return whole, best
-    return fit_regressor(train, features, replace(settings, rounds=best)), best
+    if patience < 1 or block < 1:
+        raise ValueError("patience and block are at least one round")
+    spark, assembler = df.sparkSession, _assembler(features)
+    path = fresh_path(spark, "boosting")
+    picked = assembler.transform(df).select("features", F.col("label").alias("rest"), F.col(validation).alias("held"))
+    rows = materialize(spark, lambda: picked, path)
+    judged = not rows.where("held").isEmpty()
+    trees, weights, errors = [], [], []
+    while True:
+        train, start = rows.where("not held"), len(trees)
+        for _ in range(min(block, settings.rounds - start)):
+            left = train
+            if len(trees) > start:
+                so_far = joined_trees(spark, trees[start:], weights[start:])
+                left = so_far.transform(train).withColumn("rest", F.col("rest") - F.col("pred")).drop("pred")
+            if trees:
+                left = left.withColumn("rest", 2 * F.col("rest"))
+            trees.append(_one_tree(left, settings, len(trees)))
+            weights.append(settings.step if weights else 1.0)
+        added = joined_trees(spark, trees[start:], weights[start:])
+        if judged:
+            errors += _errors_by_round(added, rows.where("held"))
+        best = rounds_with_patience(errors, patience) if judged else len(trees)
+        if len(trees) >= settings.rounds or (judged and len(trees) - best >= patience):
+            break
+        after = fresh_path(spark, "boosting")
+        next_rows = added.transform(rows).select("features", (F.col("rest") - F.col("pred")).alias("rest"), "held")
+        rows = materialize(spark, lambda: next_rows, after)
+        release(spark, path)
+        path = after
+    release(spark, path)
+    return PipelineModel([assembler, joined_trees(spark, trees[:best], weights[:best])]), best
+
+
+def _one_tree(rows: DataFrame, settings: Boosting, number: int):
+    """A tree on a sample of rows and columns, drawn anew each round."""
+    params = settings.params()
+    for boosting_only in ("maxIter", "stepSize"):
+        del params[boosting_only]
+    single = RandomForestRegressor(
+        labelCol="rest", featuresCol="features", numTrees=1, bootstrap=False, **params | {"seed": settings.seed + number}
+    )
+    return single.fit(rows).trees[0]
+
+
+def _errors_by_round(added: GBTRegressionModel, held: DataFrame) -> list[float]:
+    """Mean squared error after each round of a block, from one pass."""
+    return added.evaluateEachIteration(held.withColumnRenamed("rest", "label"), "squared")
 
 
 @dataclass(frozen=True)
@@ -96,20 +158,28 @@ class FoldedModel:
     out_of_fold: DataFrame  # uid, fold, label, pred
 
 
-def fit_folds(matrix: DataFrame, settings: Boosting, folds: int = 5, seed: int = 2017) -> FoldedModel:
-    """One model per fold, each stopped early on its own fold and judged on it.
+def fit_folds(
+    matrix: DataFrame, settings: Boosting, folds: int = 5, seed: int = 2017, patience: int = 100, parallelism: int = 5
+) -> FoldedModel:
+    """One model per fold, each stopped with patience on its own fold and judged on it.
 
-    The loop runs over fold numbers; every fit and prediction is a distributed job
-    over the cached matrix.
+    The fits run side by side, ``parallelism`` at a time; each is a series of distributed jobs over the stored matrix.
     """
     features = feature_columns(matrix)
-    filled = fill_zero(matrix).withColumn("fold", fold_id(seed, folds)).persist()
-    models, judged = [], []
-    for k in range(folds):
+    spark = matrix.sparkSession
+    numbered = fill_zero(matrix).withColumn("fold", fold_id(seed, folds))
+    filled = materialize(spark, lambda: numbered, fresh_path(spark, "folds"))
+
+    def fit(k: int) -> PipelineModel:
         marked = filled.withColumn("_validate", F.col("fold") == k)
-        model = fit_regressor(marked, features, settings, validation="_validate")
-        models.append(model)
-        judged.append(model.transform(filled.where(F.col("fold") == k)).select(KEY, "fold", "label", "pred"))
+        return fit_with_patience(marked, features, settings, "_validate", patience)[0]
+
+    with ThreadPool(min(parallelism, folds)) as pool:
+        models = pool.map(inheritable_thread_target(spark)(fit), range(folds))
+    judged = [
+        model.transform(filled.where(F.col("fold") == k)).select(KEY, "fold", "label", "pred")
+        for k, model in enumerate(models)
+    ]
     return FoldedModel(models, reduce(DataFrame.unionByName, judged))
 
 

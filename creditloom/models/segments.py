@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.fused import KEY, fill_zero
+from creditloom.sources.artefacts import Artefacts, build_rules, row_facts
 from creditloom.sources.sinks import load_model, save_model
+from creditloom.spec import FeatureSpec
 
 
 def feature_columns(df: DataFrame, but: tuple[str, ...] = (KEY, "label", "label2", "fold")) -> list[str]:
@@ -38,7 +41,7 @@ def standardised(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def fit_segments(
-    df: DataFrame, k: int = 180, max_iter: int = 1200, restarts: int = 10, seed: int = 2017
+    df: DataFrame, k: int = 180, max_iter: int = 1200, restarts: int = 10, seed: int = 2017, parallelism: int = 4
 ) -> PipelineModel:
     """Assemble, standardise and cluster; the best of several k-means starts.
 
@@ -58,14 +61,17 @@ def fit_segments(
         ).fit(filled)
         scaled = prepared.transform(filled).select("scaled").persist()
         try:
-            best, best_cost = None, math.inf
-            for start in range(restarts):
+            def start(number: int):
                 model = KMeans(
                     featuresCol="scaled", predictionCol="segment", k=k, maxIter=max_iter,
-                    initMode="k-means||", seed=seed + start,
+                    initMode="k-means||", seed=seed + number,
                 ).fit(scaled)
-                if model.summary.trainingCost < best_cost:
-                    best, best_cost = model, model.summary.trainingCost
+                return model.summary.trainingCost, number, model
+
+            # Starts run side by side; of equal costs the first start's wins.
+            with ThreadPool(min(parallelism, restarts)) as pool:
+                starts = pool.map(inheritable_thread_target(df.sparkSession)(start), range(restarts))
+            best = min(starts, key=lambda s: s[:2])[2]
         finally:
             scaled.unpersist()
     finally:
@@ -91,3 +97,19 @@ def segmented(df: DataFrame, path: str, fit: bool, name: str = "cluster_label",
     if fit:
         save_model(fit_segments(df, **params), path)
     return assign_segments(df, load_model(path), name)
+
+
+def _contract(df: DataFrame, spec: FeatureSpec, name: str) -> dict:
+    return {"label": name, "columns": feature_columns(df), "rules": build_rules(spec)}
+
+
+def store_segments(store: Artefacts, df: DataFrame, spec: FeatureSpec, name: str, **params) -> DataFrame:
+    """Fit segments on training rows, store them for rows of the same columns and rules, and assign them."""
+    model = fit_segments(df, **params)
+    store.put_model(name, _contract(df, spec, name), model, anchor=spec.anchor, **row_facts(df, KEY))
+    return assign_segments(df, model, name)
+
+
+def stored_segments(store: Artefacts, df: DataFrame, spec: FeatureSpec, name: str) -> DataFrame:
+    """Assign the segments that a training run stored for these columns and rules; LookupError if none did."""
+    return assign_segments(df, store.model(name, _contract(df, spec, name)), name)

@@ -16,6 +16,7 @@ from creditloom.plans import original_order, panes, user
 from creditloom.plans.events import click_events, loan_events, order_events, priced
 from creditloom.session import fresh_path
 from creditloom.sources import sinks
+from creditloom.sources.artefacts import Artefacts
 from creditloom.sources.retimed import open_tables, scan
 from creditloom.sources.tables import LOAN, Tables, read_table
 from creditloom.spec import SCORE, TRAIN, FeatureSpec
@@ -369,15 +370,35 @@ def clustered(name: str, **params) -> Callable[[Tables], DataFrame]:
     return run
 
 
-def clustered_matrix(t: Tables, **params) -> DataFrame:
-    """The original training matrix with the segments of its three groups and of the whole row."""
-    spark, groups = t.loan.sparkSession, {}
+def _with_segments(t: Tables, spec: FeatureSpec, place: Callable[..., DataFrame], whole: DataFrame) -> DataFrame:
+    """A matrix with the segments of its three groups and, last, of its whole rows."""
+    groups = {}
     for name, make in CLUSTERED.items():
-        group = _stored(make(t, TRAIN), name)
-        groups[name] = segments.segmented(group, fresh_path(spark, name), fit=True, name=name, **params)
-    whole = segments.with_clusters(original_matrix.original_training_matrix(t, TRAIN), groups)
-    whole = _stored(whole, "clustered-matrix")
-    return segments.segmented(whole, fresh_path(spark, "cluster_label"), fit=True, name="cluster_label", **params)
+        groups[name] = place(_stored(make(t, spec), name), spec, name)
+    joined = _stored(segments.with_clusters(whole, groups), "clustered-matrix")
+    return place(joined, spec, "cluster_label")
+
+
+def clustered_training_matrix(t: Tables, store: Artefacts | None = None, **params) -> DataFrame:
+    """The original training matrix with its four segment columns, whose scalers and segments are stored."""
+    store = store or Artefacts(t.loan.sparkSession, fresh_path(t.loan.sparkSession, "artefacts"))
+
+    def fit(df: DataFrame, spec: FeatureSpec, name: str) -> DataFrame:
+        return segments.store_segments(store, df, spec, name, **params)
+
+    return _with_segments(t, TRAIN, fit, original_matrix.original_training_matrix(t, TRAIN))
+
+
+def clustered_scoring_matrix(t: Tables, store: Artefacts | None = None, **params) -> DataFrame:
+    """The original scoring matrix with the segments that were stored in training; without a store, they are fitted first."""
+    if store is None:
+        store = Artefacts(t.loan.sparkSession, fresh_path(t.loan.sparkSession, "artefacts"))
+        clustered_training_matrix(t, store, **params)
+
+    def apply(df: DataFrame, spec: FeatureSpec, name: str) -> DataFrame:
+        return segments.stored_segments(store, df, spec, name)
+
+    return _with_segments(t, SCORE, apply, original_matrix.original_scoring_matrix(t, SCORE))
 
 
 def cv_rmse(t: Tables) -> DataFrame:
@@ -606,6 +627,8 @@ def queries() -> dict[str, Query]:
         "q_v1_loan_clustered": clustered("loan_cluster_label"),
         "q_v1_order_clustered": clustered("order_cluster_label"),
         "q_v1_click_clustered": clustered("click_cluster_label"),
+        "q_v1_training_clustered": clustered_training_matrix,
+        "q_v1_scoring_clustered": clustered_scoring_matrix,
         "q_gbt_cv_rmse": cv_rmse,
         "q_gbt_predictions": cv_predictions,
         "q_feature_importance": feature_importance,

@@ -16,17 +16,23 @@ def materialize(spark: SparkSession, make: Callable[[], DataFrame], path: str) -
 
     A stage that died half way has no _SUCCESS marker; it is computed again.
     """
-    if not _complete(spark, path):
+    if not complete(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def complete(spark: SparkSession, path: str) -> bool:
     """Whether the writing job committed. Spark's readers hide the marker, so ask the file system."""
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a stage that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Headerless two-column file: uid, pred."""
     df.select(KEY, "pred").write.mode("overwrite").option("header", False).csv(path)

@@ -90,6 +90,42 @@ def test_fits_repeat_for_a_seed(points):
     assert runs[0] == runs[1]
 
 
+WHOLE = boosting.Boosting(rounds=7, step=0.5, min_leaf=5, depth=3, rows=1.0, columns=1.0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 50])
+def test_blocks_continue_the_same_boosting(points, block):
+    marked = points.withColumn("held", F.lit(False))
+    model, best = boosting.fit_with_patience(marked, ["a", "b"], WHOLE, "held", block=block)
+    plain = boosting.fit_regressor(points, ["a", "b"], WHOLE)
+    assert best == 7
+    mine, own = ({r.uid: r.pred for r in m.transform(points).collect()} for m in (model, plain))
+    assert mine == pytest.approx(own)
+
+
+def test_boosting_ends_when_patience_is_over(spark, points, monkeypatch):
+    # Held-out labels are the opposite of what is learned, so an early round is the best.
+    marked = points.withColumn("held", F.col("uid") % 5 == 0)
+    marked = marked.withColumn("label", F.when(F.col("held"), -F.col("label")).otherwise(F.col("label")))
+    fitted, one_tree = [], boosting._one_tree
+    monkeypatch.setattr(boosting, "_one_tree", lambda *a: fitted.append(1) or one_tree(*a))
+    settings = boosting.Boosting(rounds=1500, step=0.3, min_leaf=5, depth=3)
+    model, best = boosting.fit_with_patience(marked, ["a", "b"], settings, "held", patience=6, block=4)
+    assert len(fitted) < 40 and 6 <= len(fitted) - best < 6 + 4 and model.stages[-1].getNumTrees == best
+
+
+def test_best_round_is_that_of_the_whole_series(spark, points, tmp_path):
+    marked = points.withColumn("held", F.col("uid") % 4 == 0)
+    settings = boosting.Boosting(rounds=12, step=0.3, min_leaf=5, depth=2, rows=1.0, columns=1.0)
+    model, best = boosting.fit_with_patience(marked, ["a", "b"], settings, "held", patience=100, block=5)
+    whole = boosting.fit_regressor(marked.where("not held"), ["a", "b"], settings)
+    errors = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(marked.where("held")), "squared")
+    assert best == errors.index(min(errors)) + 1
+    sinks.save_model(model, str(tmp_path / "model"))
+    again = sinks.load_model(str(tmp_path / "model"))
+    assert sorted(again.transform(points).collect()) == sorted(model.transform(points).collect())
+
+
 def test_importance_and_classifier(points):
     model = boosting.fit_regressor(points, ["a", "b"], SETTINGS)
     ranked = boosting.importance(model, ["a", "b"], points).collect()
@@ -130,6 +166,7 @@ def test_registry_is_consistent():
         "q_borrow_classifier", "q_cohort_classifier", "q_two_model_predictions", "q_blend",
         "q_borrow_holdout_metrics", "q_cohort_holdout_confusion", "q_two_model_holdout_rmse",
         "q_stored_model_predictions", "q_v1_loan_clustered", "q_v1_order_clustered", "q_v1_click_clustered",
+        "q_v1_training_clustered", "q_v1_scoring_clustered",
     }
     own = {name for name in queries if name.startswith("q_")}
     assert own - oracle.keys() == without

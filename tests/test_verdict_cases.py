@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import cohorts, sampling
 from creditloom.operators.fused import Measures
+from creditloom.models import segments
 from creditloom.queries import catalog
+from creditloom.sources.artefacts import Artefacts, build_rules
 from creditloom.sources.retimed import open_tables
 from creditloom.plans import cross, loan, original_loan, original_matrix
 from creditloom.sources.tables import LOAN, Tables
@@ -82,10 +84,38 @@ def test_shuffle_keeps_every_row_in_hash_order(spark):
     assert first == [r.uid for r in sampling.shuffled(df.repartition(3), 1).collect()]
 
 
-def test_matrix_has_the_segments_of_its_groups(spark):
+SEGMENTS = ["loan_cluster_label", "order_cluster_label", "click_cluster_label", "cluster_label"]
+
+
+def test_matrices_have_the_segments_of_their_groups(spark, tmp_path):
     t = open_tables(spark, "/root/testdata/sf0.001")
-    found = catalog.clustered_matrix(t, k=4, max_iter=5, restarts=1).toPandas()
-    names = ["loan_cluster_label", "order_cluster_label", "click_cluster_label", "cluster_label"]
-    assert list(found.columns[-4:]) == names and found.uid.is_unique
-    assert found.cluster_label.between(1, 4).all()
-    assert all(found[n].between(0, 4).all() and (found[n] > 0).any() for n in names)
+    store = Artefacts(spark, str(tmp_path / "artefacts"))
+    with pytest.raises(LookupError, match="None is stored"):
+        catalog.clustered_scoring_matrix(t, store)
+    train = catalog.clustered_training_matrix(t, store, k=4, max_iter=5, restarts=2)
+    score = catalog.clustered_scoring_matrix(t, store)
+    plain = original_matrix.original_scoring_matrix(t, catalog.SCORE)
+    assert score.columns == [*plain.columns, *SEGMENTS]
+    assert set(train.columns) - set(score.columns) == {"label"}
+    for found in (train.toPandas(), score.toPandas()):
+        assert found.uid.is_unique and found.cluster_label.between(1, 4).all()
+        assert all(found[n].between(0, 4).all() and (found[n] > 0).any() for n in SEGMENTS)
+    # The other columns are those of the matrix without segments.
+    mine, own = (df.select(*plain.columns).toPandas().set_index("uid").sort_index() for df in (score, plain))
+    assert (mine.round(6) == own.round(6)).all().all()
+
+
+def test_segments_of_other_columns_or_rules_are_not_applied(spark, tmp_path):
+    store = Artefacts(spark, str(tmp_path / "artefacts"))
+    rows = spark.createDataFrame([(i, float(i % 5), float(i)) for i in range(40)], "uid bigint, a double, b double")
+    segments.store_segments(store, rows, TRAIN, "cluster_label", k=3, max_iter=5, restarts=1)
+    again = segments.stored_segments(store, rows, catalog.SCORE, "cluster_label")
+    assert again.count() == 40
+    with pytest.raises(LookupError, match=r"lacks \['b'\], has \['c'\]"):
+        segments.stored_segments(store, rows.withColumnRenamed("b", "c"), TRAIN, "cluster_label")
+    with pytest.raises(LookupError, match="rules.n_months: 2 instead of 3"):
+        segments.stored_segments(store, rows, TRAIN.with_(n_months=2), "cluster_label")
+    with pytest.raises(LookupError, match="other order"):
+        segments.stored_segments(store, rows.select("uid", "b", "a"), TRAIN, "cluster_label")
+    contract = {"label": "cluster_label", "columns": ["a", "b"], "rules": build_rules(TRAIN)}
+    assert store.facts("cluster_label", contract)["rows"] == 40
