@@ -5,25 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.functions.rowwise import total
 from creditloom.operators.fused import KEY, Measures
 from creditloom.spec import FeatureSpec
 
 
+WORD = 64  # weeks in one long
+
+
+def _words(spec: FeatureSpec) -> dict[str, int]:
+    """The longs that hold the weeks of a window, and the first week of each.
+
+    Their number follows from that of the months, so it is the same for every anchor. Ages round up, hence one week more.
+    """
+    last = spec.n_months * 31 // 7 + 1
+    return {f"_w_bits{k or ''}": k * WORD for k in range(last // WORD + 1)}
+
+
+def week_bits(spec: FeatureSpec) -> dict[str, Column]:
+    """Which weeks before the anchor have events, one bit each: a long of 64 weeks, and as many longs as the window needs."""
+    weeks, words = F.col("weeks").cast("int"), _words(spec)
+    aggs = {}
+    for name, first in words.items():
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), weeks - first)
+        # A shift wraps around at 64, so with several longs each takes only its own weeks.
+        here = bit if len(words) == 1 else F.when(weeks.between(first, first + WORD - 1), bit)
+        aggs[name] = F.bit_or(here)
+    return aggs
+
+
+def distinct_weeks(spec: FeatureSpec) -> Column:
+    """Number of weeks with events, from the merged bits."""
+    return total([F.coalesce(F.bit_count(F.col(name)), F.lit(0)) for name in _words(spec)])
+
+
 def gap_measures(action: str, spec: FeatureSpec, per_event: bool) -> Measures:
     """Weeks since the last event, mean gap between events, and how far it is exceeded.
 
     ``per_event`` divides by the number of events; otherwise by distinct weeks.
-    Weeks before the anchor are small numbers, so distinct ones are collected as
-    bits of one long. That combines before the shuffle like a sum does, whereas a
-    distinct count would need a second exchange.
+    Distinct weeks are collected as bits of longs, which combine before the shuffle
+    like a sum does, whereas a distinct count would need a second exchange.
     """
     aggs = {"_w_min": F.min("weeks"), "_w_max": F.max("weeks")}
     if per_event:
         aggs["_n"] = F.count("*")
         n = F.col("_n")
     else:
-        aggs["_w_bits"] = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("weeks").cast("int")))
-        n = F.bit_count(F.col("_w_bits"))
+        aggs |= week_bits(spec)
+        n = distinct_weeks(spec)
     last = F.col("_w_min").cast("double")
     first = F.col("_w_max").cast("double")
     gap = F.when(n == 1, F.lit(float(spec.window_weeks)) - last).otherwise(

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import clock, money
 from creditloom.functions.coding import equal_width_code
-from creditloom.functions.rowwise import spread, total, zero
+from creditloom.functions.rowwise import greatest, least, spread, total, zero
 from creditloom.operators.fused import KEY, Measures, fill_zero, outer_merge, summarise
 from creditloom.operators.windows import filled_months, filled_weeks, month_sums, week_spread, week_sums
 from creditloom.plans.events import click_events, loan_events, order_events, priced
+from creditloom.sources.artefacts import Artefacts, build_rules
 from creditloom.sources.tables import Tables
 from creditloom.spec import FeatureSpec, add_months
 
@@ -73,26 +74,78 @@ def _levels_by_user(tables: Tables, spec: FeatureSpec) -> DataFrame:
     return levels.where(F.greatest(*[F.col(n) for n in outs]) >= 0)
 
 
-def _edges(levels: DataFrame, months: int) -> Column:
-    """Smallest and largest level over all users and months, as a scalar subquery.
-
-    It reads the same grouped rows as the main query, whose exchange is reused.
-    """
+def _bounds(months: int) -> list[Column]:
+    """Smallest and largest level over all users and months."""
     bounds = []
     for level in LEVELS:
         cols = [F.col(f"{level}_{k}") for k in range(months)]
-        bounds += [
-            F.min(F.least(*cols) if months > 1 else cols[0]).alias(f"{level}_low"),
-            F.max(F.greatest(*cols) if months > 1 else cols[0]).alias(f"{level}_high"),
-        ]
-    return levels.agg(*bounds).select(F.struct("*")).scalar()
+        bounds += [F.min(least(cols)).alias(f"{level}_low"), F.max(greatest(cols)).alias(f"{level}_high")]
+    return bounds
+
+
+def _edges(levels: DataFrame, months: int) -> Column:
+    """The bounds as a scalar subquery. It reads the same grouped rows as the main query, whose exchange is reused."""
+    return levels.agg(*_bounds(months)).select(F.struct("*")).scalar()
+
+
+def fitted_edges(tables: Tables, spec: FeatureSpec) -> DataFrame:
+    """The smallest and largest level per measure over the fitting months, as one row to be stored with a model."""
+    return _levels_by_user(tables, spec).agg(*_bounds(len(_fit_months(spec))))
+
+
+def _edges_contract(spec: FeatureSpec) -> dict:
+    return {"levels": list(LEVELS), "rules": build_rules(spec)}
+
+
+def store_edges(store: Artefacts, tables: Tables, spec: FeatureSpec) -> None:
+    """Fit the edges in training and store them for every build by the same rules."""
+    store.put_table("union-edges", _edges_contract(spec), fitted_edges(tables, spec), fitted_on=spec.fit_range)
+
+
+def stored_edges(store: Artefacts, spec: FeatureSpec) -> DataFrame:
+    """The edges that a training run stored; LookupError if none were for these rules."""
+    return store.table("union-edges", _edges_contract(spec))
 
 
-def user_codes(tables: Tables, spec: FeatureSpec) -> DataFrame:
-    """Equal-width codes 1..4 per user, month and level; NULL for months without any event."""
+def edge_drift(tables: Tables, spec: FeatureSpec, edges: DataFrame) -> DataFrame:
+    """What has become of the levels since edges were fitted, one row per measure.
+
+    Stored and present edges, the number of levels in the fitting months of ``spec``, and how many of them lie below and
+    above the stored edges, where codes no longer tell them apart.
+    """
+    months = len(_fit_months(spec))
+    values = [
+        F.struct(F.lit(level).alias("level"), F.col(f"{level}_{k}").alias("value"))
+        for k in range(months)
+        for level in LEVELS
+    ]
+    bounds = [
+        F.struct(F.lit(level).alias("level"), F.col(f"{level}_low").alias("low"), F.col(f"{level}_high").alias("high"))
+        for level in LEVELS
+    ]
+    found = _levels_by_user(tables, spec).select(F.inline(F.array(*values))).where(F.col("value").isNotNull())
+    return (
+        found.join(F.broadcast(edges.select(F.inline(F.array(*bounds)))), "level")  # one row per measure
+        .groupBy("level", "low", "high")
+        .agg(
+            F.min("value").alias("low_now"),
+            F.max("value").alias("high_now"),
+            F.count("*").alias("n"),
+            F.count_if(F.col("value") < F.col("low")).alias("below"),
+            F.count_if(F.col("value") > F.col("high")).alias("above"),
+        )
+    )
+
+
+def user_codes(tables: Tables, spec: FeatureSpec, edges: DataFrame | None = None) -> DataFrame:
+    """Equal-width codes 1..4 per user, month and level; NULL for months without any event.
+
+    ``edges`` are stored ones; without, they are fitted on the same months.
+    """
     months = len(_fit_months(spec))
     levels = _levels_by_user(tables, spec)
-    with_edges = levels.withColumn("_edges", _edges(levels, months))
+    fitted = _edges(levels, months) if edges is None else edges.select(F.struct("*")).scalar()
+    with_edges = levels.withColumn("_edges", fitted)
     return with_edges.select(
         KEY,
         *[
@@ -118,8 +171,8 @@ def union_codes(tables: Tables, spec: FeatureSpec) -> DataFrame:
     return long.where(F.col("loan_code").isNotNull())
 
 
-def union_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
-    """Sums of the codes of table pairs and triples in each observation month."""
+def union_features(tables: Tables, spec: FeatureSpec, edges: DataFrame | None = None) -> DataFrame:
+    """Sums of the codes of table pairs and triples in each observation month, by stored or by newly fitted edges."""
     fit = _fit_months(spec)
     missing = [str(spec.month_starts[slot - 1]) for slot in spec.slots if spec.month_starts[slot - 1] not in fit]
     if missing:
@@ -129,7 +182,7 @@ def union_features(tables: Tables, spec: FeatureSpec) -> DataFrame:
         k = fit.index(spec.month_starts[slot - 1])
         for name, levels in UNION_SETS.items():
             outs[f"{name}_{slot_name(slot)}"] = total([zero(F.col(f"{level}_{k}")) for level in levels])
-    sums = user_codes(tables, spec).select(KEY, *[c.alias(n) for n, c in outs.items()])
+    sums = user_codes(tables, spec, edges).select(KEY, *[c.alias(n) for n, c in outs.items()])
     return sums.select("*", *[c.alias(n) for n, c in spread("union", [F.col(n) for n in outs]).items()])
 
 

@@ -18,6 +18,7 @@ from creditloom.functions.clock import BUCKET_NAMES, weekly_weight
 from creditloom.functions.money import decode_rounded
 from creditloom.operators.fused import KEY, Measures, by_key, fill_zero, outer_merge
 from creditloom.operators.panes import ANCHOR, at_anchors, by_anchor, check_specs, panes, rolled_out
+from creditloom.operators.recency import week_bits
 from creditloom.operators.windows import disjoint_windows
 from creditloom.plans.click import click_measures
 from creditloom.plans.events import priced
@@ -93,9 +94,8 @@ def _slots(spec: FeatureSpec, value: str, tag: str) -> dict[str, Column]:
     return sums | {f"_n_m{k}": F.expr(f"sum(if(slot = {k}, n, 0))") for k in spec.slots}
 
 
-def _distances() -> dict[str, Column]:
-    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("weeks").cast("int"))
-    return {"_n": F.sum("n"), "_w_min": F.min("weeks"), "_w_max": F.max("weeks"), "_w_bits": F.bit_or(bits)}
+def _distances(spec: FeatureSpec) -> dict[str, Column]:
+    return {"_n": F.sum("n"), "_w_min": F.min("weeks"), "_w_max": F.max("weeks"), **week_bits(spec)}
 
 
 def _loan_aggs(spec: FeatureSpec) -> dict[str, Column]:
@@ -104,7 +104,7 @@ def _loan_aggs(spec: FeatureSpec) -> dict[str, Column]:
     repaid = (F.col("month") < F.col("_last_month")) & (F.col("at_once") > 0)
     at_once, later = F.sum(F.when(repaid, 0.0).otherwise(F.col("due_at_once"))), F.sum("due_later")
     return {
-        **_distances(),
+        **_distances(spec),
         **_slots(spec, "amount * n", "amt"),
         "loan_amount": F.sum(worth),
         "plannum": F.sum("plannum"),
@@ -121,13 +121,13 @@ def _click_aggs(spec: FeatureSpec) -> dict[str, Column]:
     for name, vocabulary in (("pid", spec.pids), ("param", spec.params)):
         counts |= {f"_{name}_{v}": F.expr(f"sum(if({name} = {v}, n, 0))") for v in vocabulary}
     weights = F.sum(F.col("n") * weekly_weight("weeks"))
-    return {**_distances(), **_slots(spec, "n * 1D", "clicks"), "click_weights": weights, **counts}
+    return {**_distances(spec), **_slots(spec, "n * 1D", "clicks"), "click_weights": weights, **counts}
 
 
 def _order_aggs(spec: FeatureSpec) -> dict[str, Column]:
     weight = weekly_weight("weeks")
     return {
-        **_distances(),
+        **_distances(spec),
         **_slots(spec, "paid", "paid"),
         "buy_weights": F.sum(F.col("n") * weight),
         "cost_weight": F.sum(F.col("paid") * weight),

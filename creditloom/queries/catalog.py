@@ -314,6 +314,24 @@ def split_matrix(t: Tables) -> DataFrame:
     return original_matrix.split_matrix(stored, cohorts.cohort_labels(t, TRAIN), SEED)
 
 
+def _edge_store(t: Tables, spec: FeatureSpec) -> Artefacts:
+    store = Artefacts(t.loan.sparkSession, fresh_path(t.loan.sparkSession, "edges"))
+    cross.store_edges(store, t, spec)
+    return store
+
+
+def union_scored_by_stored_edges(t: Tables) -> DataFrame:
+    """Code sums of the next anchor by the edges that were stored in training."""
+    return cross.union_features(t, SCORE, cross.stored_edges(_edge_store(t, TRAIN), SCORE))
+
+
+def union_edge_drift(t: Tables) -> DataFrame:
+    """Levels of the scoring window against edges fitted on the training window alone."""
+    own = {"fit_from": None, "fit_to": None}
+    then, now = TRAIN.with_(**own), SCORE.with_(**own)
+    return cross.edge_drift(t, now, cross.stored_edges(_edge_store(t, then), now))
+
+
 def two_anchors(t: Tables) -> DataFrame:
     """The training and the scoring matrix from one scan of each event table."""
     labels = matrix.labels(t).withColumn("anchor", F.lit(TRAIN.anchor))
@@ -567,7 +585,8 @@ def queries() -> dict[str, Query]:
         ),
         "q_union_codes": lambda t: cross.union_codes(t, TRAIN),
         "q_union_features": lambda t: cross.union_features(t, TRAIN),
-        "q_union_features_scoring": lambda t: cross.union_features(t, SCORE),
+        "q_union_features_scoring": union_scored_by_stored_edges,
+        "q_union_edge_drift": union_edge_drift,
         "q_interactive_month": lambda t: cross.interactive_month_features(t, TRAIN),
         "q_interactive_week": lambda t: cross.interactive_features(t, TRAIN),
         "q_user_features": lambda t: user.user_features(t, TRAIN),

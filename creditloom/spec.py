@@ -55,8 +55,6 @@ class FeatureSpec:
             raise ValueError("the anchor must be the first day of a month")
         if self.n_months < 1:
             raise ValueError("the window needs at least one month")
-        if (self.anchor - self.start).days // 7 > 60:
-            raise ValueError("distinct weeks are kept in a 63-bit mask; shorten the window")
 
     @property
     def start(self) -> date:

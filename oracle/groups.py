@@ -257,19 +257,40 @@ def code_panel() -> str:
         return (f"case when {c} <= {c}_lo+0.25*({c}_hi-{c}_lo) then 1 when {c} <= {c}_lo+0.5*({c}_hi-{c}_lo) then 2 "
                 f"when {c} <= {c}_lo+0.75*({c}_hi-{c}_lo) then 3 else 4 end")
     edges = ", ".join(f"min({c}) as {c}_lo, max({c}) as {c}_hi" for c in ("l", "p", "c"))
-    paid = "(" + _net_exact() + ")"
     return f"""(
-      with panel as (
+      with panel as ({level_panel('2016-08-01', '2016-12-01')}),
+      edge as (select {edges} from panel)
+      select uid, mon, {code('l')} as lc, {code('p')} as pc, {code('c')} as cc from panel, edge)"""
+
+
+def level_panel(start: str, end: str) -> str:
+    """(uid, mon) with encoded totals of loans, purchases and clicks."""
+    def within(time: str, kind: str) -> str:
+        return f"{time} >= {kind} '{start}' and {time} < {kind} '{end}'"
+    paid = "(" + _net_exact() + ")"
+    return f"""
         select uid, mon, {log5('coalesce(ls,0)')} as l, {log5('coalesce(ps,0)')} as p, {log5('coalesce(cs,0)')} as c
         from (select uid, month(loan_time) mon, sum(round_even(pow(5,loan_amount)-1,0)) ls from v_loan
-              where loan_time >= timestamp '2016-08-01' and loan_time < timestamp '2016-12-01' group by all)
+              where {within('loan_time', 'timestamp')} group by all)
         full join (select uid, month(buy_time) mon, sum({paid}) ps from v_order
-              where buy_time >= date '2016-08-01' and buy_time < date '2016-12-01' group by all) using (uid, mon)
+              where {within('buy_time', 'date')} group by all) using (uid, mon)
         full join (select uid, month(click_time) mon, count(click_time) cs from v_click
-              where click_time >= timestamp '2016-08-01' and click_time < timestamp '2016-12-01' group by all)
-              using (uid, mon)),
-      edge as (select {edges} from panel)
-      select uid, mon, {code('l')} as lc, {code('p')} as pc, {code('c')} as cc from panel, edge)"""
+              where {within('click_time', 'timestamp')} group by all) using (uid, mon)"""
+
+
+def edge_drift() -> str:
+    """Edges of the training window, and the scoring window's levels beyond them."""
+    names = {"l": "loan", "p": "paid", "c": "clicks"}
+    then, now = (
+        " union all ".join(f"select '{name}' as level, {c} as x from {panel}" for c, name in names.items())
+        for panel in ("panel_then", "panel_now")
+    )
+    return f"""
+      (with panel_then as ({level_panel('2016-08-01', '2016-11-01')}), panel_now as ({level_panel('2016-09-01', '2016-12-01')}),
+        edge as (select level, min(x) as low, max(x) as high from ({then}) group by level)
+      select level, low, high, min(x) as low_now, max(x) as high_now, count(*) as n,
+        count(*) filter (x < low) as below, count(*) filter (x > high) as above
+      from ({now}) join edge using (level) group by all)"""
 
 
 def _net_exact() -> str:

@@ -166,6 +166,10 @@ def other_group_queries() -> dict[str, str]:
                    {num('cc', 'clicks_code')} from {g.code_panel()}"""),
         "q_union_features": rounded(a, g.union(a)),
         "q_union_features_scoring": rounded(SCORE, g.union(SCORE)),
+        "q_union_edge_drift": query(SCORE, f"""
+            select level, {num('low', 'low')}, {num('high', 'high')}, {num('low_now', 'low_now')},
+                   {num('high_now', 'high_now')}, {whole('n', 'n')}, {whole('below', 'below')}, {whole('above', 'above')}
+            from {g.edge_drift()}"""),
         "q_interactive_month": rounded(a, g.interactive_month(a)),
         "q_interactive_week": rounded(a, g.interactive_all(a)),
     }

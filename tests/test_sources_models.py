@@ -172,7 +172,7 @@ def test_registry_is_consistent():
     assert own - oracle.keys() == without
 
 
-@pytest.mark.parametrize("name", ["q_loan_features", "q_loan_windows", "q_union_features", "q_profile", "q_cohorts"])
+@pytest.mark.parametrize("name", ["q_loan_features", "q_loan_windows", "q_union_features", "q_union_features_scoring", "q_union_edge_drift", "q_click_recency_gap", "q_profile", "q_cohorts"])
 def test_small_queries_equal_sql(spark, name):
     from check import compare, connect
 

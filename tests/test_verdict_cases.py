@@ -6,13 +6,14 @@ import pytest
 from conftest import at, by_uid
 from pyspark.sql import functions as F
 
-from creditloom.operators import cohorts, sampling
+from creditloom.operators import cohorts, fused, recency, sampling
 from creditloom.operators.fused import Measures
 from creditloom.models import segments
 from creditloom.queries import catalog
 from creditloom.sources.artefacts import Artefacts, build_rules
 from creditloom.sources.retimed import open_tables
 from creditloom.plans import cross, loan, original_loan, original_matrix
+from creditloom.plans.events import click_events
 from creditloom.sources.tables import LOAN, Tables
 from creditloom.spec import TRAIN, FeatureSpec
 
@@ -119,3 +120,42 @@ def test_segments_of_other_columns_or_rules_are_not_applied(spark, tmp_path):
         segments.stored_segments(store, rows.select("uid", "b", "a"), TRAIN, "cluster_label")
     contract = {"label": "cluster_label", "columns": ["a", "b"], "rules": build_rules(TRAIN)}
     assert store.facts("cluster_label", contract)["rows"] == 40
+
+
+def test_edges_are_stored_and_drift_is_counted(spark, tables, tmp_path):
+    store = Artefacts(spark, str(tmp_path / "artefacts"))
+    own = TRAIN.with_(fit_from=None, fit_to=None)
+    with pytest.raises(LookupError):
+        cross.stored_edges(store, own)
+    cross.store_edges(store, tables, own)
+    edges = cross.stored_edges(store, catalog.SCORE)
+    assert by_uid(cross.union_features(tables, own, edges)) == by_uid(cross.union_features(tables, own))
+    still = {r.level: r for r in cross.edge_drift(tables, own, edges).collect()}
+    assert set(still) == {"loan", "paid", "clicks"}
+    assert all(r.below == r.above == 0 and (r.low, r.high) == (r.low_now, r.high_now) for r in still.values())
+    higher = edges.withColumns({"loan_low": F.col("loan_high") - 0.01, "clicks_high": F.lit(0.5)})
+    moved = {r.level: r for r in cross.edge_drift(tables, own, higher).collect()}
+    assert moved["loan"].below == moved["loan"].n - 1 and moved["clicks"].above == 1 and moved["paid"].above == 0
+
+
+@pytest.mark.parametrize("months", [3, 14, 15, 46])
+def test_distinct_weeks_of_long_windows(spark, months):
+    spec = FeatureSpec(anchor=date(2016, 11, 1), n_months=months)
+    last = (spec.anchor - spec.start).days // 7
+    weeks = {1: [0, 0, last], 2: list(range(last + 1)), 3: [min(63, last), min(64, last), min(127, last), min(128, last)]}
+    rows = [(uid, w) for uid, ws in weeks.items() for w in ws]
+    df = spark.createDataFrame(rows, "uid bigint, weeks bigint").repartition(3)
+    bits = recency.week_bits(spec)
+    found = df.groupBy("uid").agg(*[c.alias(n) for n, c in bits.items()]).select("uid", recency.distinct_weeks(spec).alias("n"))
+    assert {r.uid: r.n for r in found.collect()} == {uid: len(set(ws)) for uid, ws in weeks.items()}
+    gaps = fused.summarise(df, recency.gap_measures("click", spec, per_event=False))
+    assert by_uid(gaps)[2]["per_click_time_interval"] == 1
+
+
+def test_windows_of_more_than_sixty_weeks_build(tables):
+    spec = FeatureSpec(anchor=date(2016, 11, 1), n_months=15)
+    assert (spec.anchor - spec.start).days // 7 == 65
+    gaps = [recency.gap_measures("click", spec, per_event=False)]
+    found = by_uid(fused.summarise(click_events(tables, spec), *gaps))
+    assert found[1]["last_click_time"] == 0 and found[1]["per_click_time_interval"] == 3
+    assert found[9]["per_click_time_interval"] == spec.window_weeks - found[9]["last_click_time"]
