@@ -61,10 +61,11 @@ def fit_regressor(
 ) -> PipelineModel:
     """Fit on all rows, or stop early on the rows flagged by a boolean ``validation`` column."""
     stop = {"validationIndicatorCol": validation, "validationTol": settings.tolerance} if validation else {}
-    trees = GBTRegressor(
-        labelCol="label", featuresCol="features", predictionCol="pred", **settings.params(), **stop
-    )
-    return Pipeline(stages=[_assembler(features), trees]).fit(df)
+    return Pipeline(stages=[_assembler(features), _regressor(settings, "label", **stop)]).fit(df)
+
+
+def _regressor(settings: Boosting, label: str, **more) -> GBTRegressor:
+    return GBTRegressor(labelCol=label, featuresCol="features", predictionCol="pred", **settings.params() | more)
 
 
 def rounds_with_patience(errors: list[float], patience: int) -> int:
@@ -95,8 +96,8 @@ def fit_with_patience(
 ) -> tuple[PipelineModel, int]:
     """Boost on the unflagged rows until the flagged ones have not been predicted better for ``patience`` rounds.
 
-    Spark's own stopping ends at the first round whose error rises, and its boosting cannot be continued, so rounds
-    are fitted one by one: each is a tree on what the model so far leaves over, as in Spark's boosting, where the first
+    Spark's own stopping ends at the first round whose error rises, and its boosting cannot be continued. So the first
+    ``patience`` rounds are one boosting and later ones are fitted one by one: each is a tree on what the model so far leaves over, as in Spark's boosting, where the first
     tree counts fully and each later one, fitted to twice what is left (the slope of the squared error), by the step. After every ``block`` rounds the held-out errors of all of them come
     from one pass, and what is left over is written to the shared folder, which cuts the lineage; a lost executor
     costs at most a block. Returns the model up to its best round, and that round, from 1. No held-out row, or one
@@ -112,15 +113,18 @@ def fit_with_patience(
     trees, weights, errors = [], [], []
     while True:
         train, start = rows.where("not held"), len(trees)
-        for _ in range(min(block, settings.rounds - start)):
-            left = train
-            if len(trees) > start:
-                so_far = joined_trees(spark, trees[start:], weights[start:])
-                left = so_far.transform(train).withColumn("rest", F.col("rest") - F.col("pred")).drop("pred")
-            if trees:
-                left = left.withColumn("rest", 2 * F.col("rest"))
-            trees.append(_one_tree(left, settings, len(trees)))
-            weights.append(settings.step if weights else 1.0)
+        if not trees:
+            # No run ends before its patience is over, so the first rounds are one fit of Spark's own.
+            first = _regressor(settings, "rest", maxIter=min(patience, settings.rounds)).fit(train)
+            trees, weights = list(first.trees), list(first.treeWeights)
+        else:
+            for _ in range(min(block, settings.rounds - start)):
+                left = train
+                if len(trees) > start:
+                    so_far = joined_trees(spark, trees[start:], weights[start:])
+                    left = so_far.transform(train).withColumn("rest", F.col("rest") - F.col("pred")).drop("pred")
+                trees.append(_one_tree(left.withColumn("rest", 2 * F.col("rest")), settings, len(trees)))
+                weights.append(settings.step)
         added = joined_trees(spark, trees[start:], weights[start:])
         if judged:
             errors += _errors_by_round(added, rows.where("held"))
