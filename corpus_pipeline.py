@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``docs`` is a stored table; the
 result is written as Parquet and read again as the next stage's docs. All stages but the last return the columns
-of ``documents``.
+of ``documents``. Rows are known by their place in the table's files, so no stage stores a copy of the documents to number them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import ROW, read, stored
+from creditloom.llm.common import ROW, positioned, read, released, stored
 from creditloom.llm.exact_dedup import drop_exact_duplicates
 from creditloom.llm.language_model import drop_poor
 from creditloom.llm.mixing import mix
@@ -20,22 +20,22 @@ from creditloom.llm.simhash import drop_near_duplicates
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity exceeds their language's limit go."""
-    return drop_poor(docs, read(spark, sf_dir, "labels"))
+    return drop_poor(positioned(docs), read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return drop_exact_duplicates(docs)
+    return drop_exact_duplicates(positioned(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near fingerprints stays: four-word shingles, at most four bits."""
-    return drop_near_duplicates(docs, words=4, max_bits=4)
+    return drop_near_duplicates(positioned(docs), words=4, max_bits=4)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn at the rates that meet the domains' target weights."""
-    return mix(docs, read(spark, sf_dir, "labels"))
+    return mix(positioned(docs), read(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        # Each stage's output is numbered where it is written, so the next one stores no copy to number it.
-        docs = stored(stage(spark, docs, sf_dir).withColumn(ROW, F.monotonically_increasing_id()), name)
+        # Each stage's output is numbered where it is written, and the one it was made from goes.
+        docs = released(stored(stage(spark, docs, sf_dir).withColumn(ROW, F.monotonically_increasing_id()), name), *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ def released(result: DataFrame, *stages: DataFrame) -> DataFrame:
 
 #: The column that numbers the rows of a stored table.
 ROW = "creditloom_row"
+#: Bits of a row's place in its file.
+PLACE_BITS = 40
 
 
 def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
@@ -58,6 +61,24 @@ def numbered(docs: DataFrame, name: str = "numbered") -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """A table as it was read from Parquet files, with a number of each row, which is its file's and its place in that file.
+
+    The place does not change with the splits, so nothing is stored. What reaches the driver is a row per file. Tables that bring
+    numbers keep them; other frames than a table's are ``numbered``. A join or a generator may repeat places: number before them.
+    """
+    if ROW in docs.columns:
+        return docs
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{ROW}_file"), F.col("_metadata.row_index").alias(f"{ROW}_place"))
+    except AnalysisException:
+        return numbered(docs)
+    names = sorted(r[0] for r in placed.select(f"{ROW}_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)))), f"{ROW}_file string, {ROW}_number long")
+    row = F.shiftleft(f"{ROW}_number", PLACE_BITS).bitwiseOR(F.col(f"{ROW}_place"))
+    return placed.join(F.broadcast(files), f"{ROW}_file").select(*(quoted(c) for c in docs.columns), row.alias(ROW))
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name the input does not have, whatever columns it brings."""
     taken = {c.lower() for c in df.columns}

@@ -179,3 +179,40 @@ def test_row_numbers_are_the_written_ones(spark, tmp_path):
         assert table.join(docs, (table.row == docs[ROW]) & (table.doc_id == docs.doc_id)).count() == 400
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_stages_store_no_copy_to_number_rows(spark, stored_docs, labels, monkeypatch):
+    """Every stage of the pipeline left a numbered copy of the documents behind."""
+    import corpus_pipeline
+    from creditloom.llm import common, exact_dedup, language_model, mixing, simhash
+
+    docs, wide, keep = stored_docs(), [], common.stored
+
+    def noted(df, name):
+        wide.extend([name] * ("text" in df.columns))
+        return keep(df, name)
+
+    for module in (common, exact_dedup, mixing, simhash, language_model):
+        monkeypatch.setattr(module, "stored", noted)
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *of: labels)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+    assert not wide
+
+
+def test_places_number_rows_whatever_the_splits(spark, tmp_path):
+    from creditloom.llm.common import ROW, positioned
+
+    spark.range(500).selectExpr("id % 7 as doc_id", "repeat('x', 200) as text").repartition(3).write.parquet(f"{tmp_path}/a table")
+    docs = spark.read.parquet(f"{tmp_path}/a table")
+    found = {r[0] for r in positioned(docs).select(ROW).collect()}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert {r[0] for r in positioned(spark.read.parquet(f"{tmp_path}/a table")).select(ROW).collect()} == found
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(found) == 500 and positioned(docs).select("doc_id", "text").exceptAll(docs).isEmpty()
+    # Frames that are no table's are numbered as before, and numbers that are there stay.
+    made = positioned(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string"))
+    assert made.select(ROW).distinct().count() == 2 and positioned(made) is made
