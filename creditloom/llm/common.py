@@ -34,12 +34,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """As ``stored``, in buckets by a column: grouping by it moves nothing of these rows later."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"creditloom_{path.rpartition('/')[2].replace('-', '_')}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    made = spark.table(table)
+    made._creditloom_path, made._creditloom_table = path, table
+    return made
+
+
 def released(result: DataFrame, *stages: DataFrame) -> DataFrame:
-    """A stored result, once the stages that it was made from have been removed. Only what ``stored`` wrote is."""
+    """A stored result, once the stages that it was made from have been removed. Only what ``stored`` or ``bucketed`` wrote is."""
     if not hasattr(result, "_creditloom_path"):
         raise ValueError("stages are needed until their result is stored")
     context = result.sparkSession.sparkContext
     for stage in stages:
+        if hasattr(stage, "_creditloom_table"):
+            result.sparkSession.sql(f"DROP TABLE IF EXISTS {stage._creditloom_table}")
         path = context._jvm.org.apache.hadoop.fs.Path(stage._creditloom_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return result

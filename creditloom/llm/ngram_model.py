@@ -3,10 +3,12 @@
 An n-gram is ``ORDER`` code points as they are, without folding, held exactly in two longs (21 bits a code point). So
 the tables grow with the corpus, and nothing of them reaches the driver but the four counts of counts of each order.
 
-Texts are bundled into blocks of about ``BLOCK`` characters, once, after they met the labels. Each block's distinct n-grams go
-out packed by shard, with their trusted counts. Counts are summed by n-gram; each order's context totals and its
-lower order are found by shuffles on the context and the suffix. The probabilities meet the blocks' packed n-grams
-shard by shard, and return to the blocks as packed numbers, where they are summed for each document.
+Texts are bundled into blocks of about ``BLOCK`` characters, once, where they are read; ``UNIT`` blocks of a task are a unit. Blocks
+are stored in buckets by unit, so no text is shuffled, neither to meet the labels nor to meet the answers. Each unit's distinct
+n-grams go out packed by shard, with their trusted counts. Counts are summed by n-gram; each order's context totals and its
+lower order are found by shuffles on the context and the suffix. The probabilities meet the units' packed n-grams
+shard by shard, and return to the units with them, where they are summed for each document. Tasks take ``PART`` characters at
+once, and a unit asks before it holds many more than ``HELD`` distinct n-grams.
 
 A code point nobody saw has its share of all code points, so no text is impossible.
 """
@@ -23,33 +25,45 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import released, stored
+from creditloom.llm.common import bucketed, released, stored
 
 ORDER = 5
 BITS = 21
 CODE_POINTS = 0x110000
 BLOCK = 2_000_000
+UNIT = 16
+PART = 500_000
+HELD = 1_000_000
 #: A shard answers about this many blocks' worth of n-grams.
 BLOCKS_A_SHARD = 20
 LEAST_SHARDS = 16
 LEAST_DISCOUNT = 0.05
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High and low long of the n-gram that ends at each character, and the text it is in; 0 stands before a text."""
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """High and low long of the n-gram that ends at each character, and the text it is in, for ``PART`` characters at a time.
+
+    0 stands before a text.
+    """
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     pad = "\0" * (ORDER - 1)
     joined = pad + pad.join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
-    ends = np.cumsum(sizes + ORDER - 1)
-    starts = ends - sizes
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+    del joined
+    stops = np.cumsum(sizes)
+    starts = stops - sizes + (ORDER - 1) * np.arange(1, len(sizes) + 1)
     for k in range(1, ORDER):
         points[starts - k] = 0
-    own = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(len(own)) + (ORDER - 1) * (own + 1)
-    high = points[at - 4] << BITS | points[at - 3]
-    low = points[at - 2] << 2 * BITS | points[at - 1] << BITS | points[at]
-    return high, low, own
+    total = int(sizes.sum())
+    for first in range(0, total, PART):
+        at = np.arange(first, min(first + PART, total))
+        own = np.searchsorted(stops, at, "right")
+        at += (ORDER - 1) * (own + 1)
+        begin = int(at[0]) - ORDER + 1
+        some, at = points[begin : int(at[-1]) + 1].astype(np.int64), at - begin
+        high = some[at - 4] << BITS | some[at - 3]
+        low = some[at - 2] << 2 * BITS | some[at - 1] << BITS | some[at]
+        yield high, low, own
 
 
 def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,6 +78,29 @@ def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[order], lo[order], rank[place]
 
 
+def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of several (high, low, n) in ascending order, and the sums of their counts."""
+    high, low, n = (np.concatenate(c) for c in zip(*parts))
+    h, lo, place = distinct(high, low)
+    return h, lo, np.bincount(place, n, len(h)).astype(np.int64)
+
+
+class Places:
+    """Where n-grams stand among given distinct ones."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.highs, self.lows = np.unique(high), np.unique(low)
+        keys = self._keys(high, low)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def _keys(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.highs, high) * len(self.lows) + np.searchsorted(self.lows, low)
+
+    def of(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return self.order[np.searchsorted(self.keys, self._keys(high, low))]
+
+
 def shard_of(high: np.ndarray, low: np.ndarray, shards: int) -> np.ndarray:
     mixed = (high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed ^= mixed >> np.uint64(29)
@@ -82,89 +119,102 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(columns.T).view("<i8").ravel())
 
 
+def _pack_counts(values: np.ndarray) -> bytes:
+    """Most counts are small: their upper bytes are zero."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    columns = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(columns.T).view("<i8").ravel()
+
+
+def _pack_texts(texts: list[str]) -> bytes:
+    return pa.Codec("zstd", 3).compress("".join(texts).encode("utf-8", "surrogatepass"), asbytes=True)
+
+
 def _texts(packed: bytes, sizes: np.ndarray) -> list[str]:
-    whole = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+    whole = pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read().decode("utf-8", "surrogatepass")
     ends = np.cumsum(sizes).tolist()
     return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def blocks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """block, rows, head, sizes, trusted and text of the documents (row, id, head, text) in bundles; stored.
+def blocks(docs: DataFrame) -> DataFrame:
+    """unit, block, rows, head, ids, sizes and text of the documents (row, id, head, text) in bundles; stored in buckets by unit.
 
     ``head`` is what goes along unread, so the documents' row numbers are taken in one reading.
     """
     head_type = docs.schema["head"].dataType.simpleString()
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
-
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        rows, heads, flags, texts, held = [], [], [], [], 0
+        rows, ids, heads, texts, held = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             columns = (
+                pa.array([task << 32 | made // UNIT], pa.int64()),
                 pa.array([task << 32 | made], pa.int64()),
                 pa.array([np.array(rows, "<i8").tobytes()], pa.binary()),
-                pa.array([heads], pa.list_(batch.column(1).type)),
+                pa.array([heads], pa.list_(batch.column(2).type)),
+                pa.array([ids], pa.list_(pa.int64())),
                 pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()),
-                pa.array([np.array(flags, np.uint8).tobytes()], pa.binary()),
-                pa.array([zlib.compress("".join(texts).encode("utf-8", "surrogatepass"), 1)], pa.binary()),
+                pa.array([_pack_texts(texts)], pa.binary()),
             )
-            return pa.RecordBatch.from_arrays(list(columns), ["block", "rows", "head", "sizes", "trusted", "text"])
+            return pa.RecordBatch.from_arrays(list(columns), ["unit", "block", "rows", "head", "ids", "sizes", "text"])
 
         for batch in batches:
-            for row, head, flag, data in zip(*(batch.column(k) for k in range(4))):
+            for row, doc_id, head, text in zip(*(batch.column(k) for k in range(4))):
                 rows.append(row.as_py())
+                ids.append(doc_id.as_py())
                 heads.append(head.as_py())
-                flags.append(flag.as_py())
-                texts.append(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass"))
+                texts.append(text.as_py() or "")
                 held += len(texts[-1])
                 if held >= BLOCK or len(rows) >= BLOCK:
                     yield block()
-                    rows, heads, flags, texts, held, made = [], [], [], [], 0, made + 1
+                    rows, ids, heads, texts, held, made = [], [], [], [], 0, made + 1
         if rows:
             yield block()
 
-    # By shuffle at any size: the labels grow with the corpus.
-    known = trusted.select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("known", F.lit(True))
-    met = docs.select("row", "id", "head", packed("text").alias("data")).join(known.hint("merge"), "id", "left")
-    flagged = met.select("row", "head", F.coalesce("known", F.lit(False)).alias("known"), "data")
-    made = f"block long, rows binary, head array<{head_type}>, sizes binary, trusted binary, text binary"
-    return stored(flagged.mapInArrow(bundle, made), "blocks")
+    source = docs.select("row", "id", "head", "text")
+    made = f"unit long, block long, rows binary, head array<{head_type}>, ids array<long>, sizes binary, text binary"
+    return bucketed(source.mapInArrow(bundle, made), "blocks", "unit", 2 * max(1, source.rdd.getNumPartitions()))
 
 
-def requests(bundled: DataFrame, shards: int) -> DataFrame:
-    """block, shard, high, low, n: each block's distinct n-grams packed by shard, and how often trusted texts have them; stored."""
+def requests(bundled: DataFrame, trusted: DataFrame, shards: int) -> DataFrame:
+    """unit, last, shard, high, low, n: distinct n-grams packed by shard, and how often trusted texts have them; stored.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # One block at a time: a block is a row, and its arrays go before the next one's are made.
-            for k in range(batch.num_rows):
-                (r,) = batch.slice(k, 1).to_pylist()
-                high, low, own = grams(_texts(r["text"], np.frombuffer(r["sizes"], "<i8")))
-                known = np.frombuffer(r["trusted"], np.uint8)[own] > 0
-                del own
+    They are those of a unit's blocks up to ``last``, from after the ``last`` before it.
+    """
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        trusted_at, rows, held = dict(zip(*(right.column(c).to_pylist() for c in ("met", "places")))), [], []
+        order = np.argsort(left.column("block").to_numpy())
+        for k in order.tolist():
+            unit, block, sizes, text = (left.column(c)[k].as_py() for c in ("unit", "block", "sizes", "text"))
+            sizes = np.frombuffer(sizes, "<i8")
+            known = np.zeros(len(sizes), bool)
+            known[trusted_at.get(block, [])] = True
+            for high, low, own in grams(_texts(text, sizes)):
                 h, lo, place = distinct(high, low)
-                del high, low
-                n = np.bincount(place[known], minlength=len(h))
-                del place, known
+                held.append((h, lo, np.bincount(place[known[own]], minlength=len(h))))
+            del text
+            held = [merged(held)] if held else []
+            if held and (len(held[0][0]) > HELD or k == order[-1]):
+                h, lo, n = held.pop()
                 shard = shard_of(h, lo, shards)
-                rows = []
                 for s in np.unique(shard).tolist():
                     own_part = shard == s
-                    rows.append((r["block"], s, _pack(h[own_part]), _pack(lo[own_part]), _pack(n[own_part])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.binary()] * 3))],
-                        ["block", "shard", "high", "low", "n"],
-                    )
+                    rows.append((unit, block, s, _pack(h[own_part]), _pack(lo[own_part]), _pack_counts(n[own_part])))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3)
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["unit", "last", "shard", "high", "low", "n"])
 
-    made = bundled.select("block", "sizes", "trusted", "text").mapInArrow(
-        ask, "block long, shard int, high binary, low binary, n binary"
-    )
-    return stored(made, "requests")
+    # By shuffle at any size: the labels grow with the corpus. Only ids and places are moved.
+    known = trusted.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    each = bundled.select(F.col("unit").alias("of"), F.col("block").alias("met"), F.posexplode("ids").alias("place", "id"))
+    places = each.join(known.hint("merge"), "id").groupBy("of", "met").agg(F.collect_list("place").alias("places"))
+    sides = bundled.select("unit", "block", "sizes", "text").groupBy("unit").cogroup(places.groupBy("of"))
+    return stored(sides.applyInArrow(ask, "unit long, last long, shard int, high binary, low binary, n binary"), "requests")
 
 
 def counts(asked: DataFrame) -> DataFrame:
@@ -175,7 +225,7 @@ def counts(asked: DataFrame) -> DataFrame:
             for shard, high, low, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 h = _unpack(high)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(_unpack(low)), pa.array(_unpack(n))],
+                    [pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(_unpack(low)), pa.array(_unpack_counts(n))],
                     ["shard", "high", "low", "n"],
                 )
 
@@ -250,54 +300,56 @@ def discounts(types: list[int]) -> list[float]:
 
 
 def answers(asked: DataFrame, probs: DataFrame) -> DataFrame:
-    """block, shard, values: the log probabilities of a block's n-grams of a shard, in the order they were asked."""
+    """unit, last, high, low, values: n-grams of a shard that were asked for, and their log probabilities in the same order."""
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        highs, lows = np.unique(right["high"].to_numpy()), np.unique(right["low"].to_numpy())
-
-        def key(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-            return np.searchsorted(highs, high) * len(lows) + np.searchsorted(lows, low)
+        places, values = Places(right["high"].to_numpy(), right["low"].to_numpy()), right["log_prob"].to_numpy().astype("<f4")
+        found = [values[places.of(_unpack(h), _unpack(lo))].tobytes() for h, lo in zip(left["high"], left["low"])]
+        return left[["unit", "last", "high", "low"]].assign(values=pd.Series(found, left.index, dtype=object))
 
-        keys = key(right["high"].to_numpy(), right["low"].to_numpy())
-        order = np.argsort(keys)
-        keys, values = keys[order], right["log_prob"].to_numpy()[order].astype("<f4")
-        found = [
-            values[np.searchsorted(keys, key(_unpack(high), _unpack(low)))].tobytes()
-            for high, low in zip(left["high"], left["low"])
-        ]
-        return pd.DataFrame({"block": left["block"], "shard": left["shard"], "values": pd.Series(found, left.index, dtype=object)})
+    sides = asked.select("unit", "last", "shard", "high", "low").groupBy("shard").cogroup(probs.groupBy("shard"))
+    return sides.applyInPandas(answer, "unit long, last long, high binary, low binary, values binary")
 
-    sides = asked.select("block", "shard", "high", "low").groupBy("shard").cogroup(probs.groupBy("shard"))
-    return sides.applyInPandas(answer, "block long, shard int, values binary")
 
-
-def surprise(bundled: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
+def surprise(bundled: DataFrame, answered: DataFrame) -> DataFrame:
     """row, n, nats: the characters of every document and their summed surprise."""
 
-    def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        r = left.iloc[0]
-        sizes = np.frombuffer(r["sizes"], "<i8")
-        high, low, own = grams(_texts(r["text"], sizes))
-        h, lo, place = distinct(high, low)
-        shard, log_probs = shard_of(h, lo, shards), np.full(len(h), np.nan, np.float64)
-        for s, values in zip(right["shard"], right["values"]):
-            log_probs[shard == s] = np.frombuffer(values, "<f4")
-        nats = -np.bincount(own, log_probs[place], len(sizes))
-        return pd.DataFrame({"row": np.frombuffer(r["rows"], "<i8"), "n": sizes, "nats": nats})
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        lasts = right.column("last").to_numpy()
+        ends, now, made = np.unique(lasts), -1, []
+        for k in np.argsort(left.column("block").to_numpy()).tolist():
+            block, rows, sizes, text = (left.column(c)[k].as_py() for c in ("block", "rows", "sizes", "text"))
+            sizes = np.frombuffer(sizes, "<i8")
+            if block > now and sizes.any():
+                now = ends[np.searchsorted(ends, block)]
+                own = right.filter(pa.array(lasts == now))
+                high, low = (np.concatenate([_unpack(x.as_py()) for x in own.column(c)]) for c in ("high", "low"))
+                places = Places(high, low)
+                log_probs = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in own.column("values")])
+                del own, high, low
+            each, at = np.empty(int(sizes.sum()), np.float32), 0
+            for high, low, _ in grams(_texts(text, sizes)):
+                h, lo, place = distinct(high, low)
+                each[at : at + len(high)] = log_probs[places.of(h, lo)][place]
+                at += len(high)
+            nats = -np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+            made.append(pa.table([np.frombuffer(rows, "<i8"), sizes, nats], ["row", "n", "nats"]))
+        return pa.concat_tables(made)
 
-    sides = bundled.select("block", "rows", "sizes", "text").groupBy("block").cogroup(answered.groupBy("block"))
-    return sides.applyInPandas(summed, "row long, n long, nats double")
+    texts = bundled.select("unit", "block", "rows", "sizes", "text")
+    # A unit has a block, but without characters it has no answers.
+    return texts.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(summed, "row long, n long, nats double")
 
 
 def scored(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """head, n, nats of every document (row, id, head, text), stored; None without trusted text. ``row`` is unique."""
-    bundled = blocks(docs, trusted)
+    bundled = blocks(docs)
     shards = max(LEAST_SHARDS, -(-bundled.count() // BLOCKS_A_SHARD))
-    asked = requests(bundled, shards)
+    asked = requests(bundled, trusted, shards)
     counted = counts(asked)
     probs = probabilities(counted)
     if probs is None:
         return None
     heads = bundled.select(F.explode("head").alias("head")).withColumn("row", F.col("head.row"))
-    found = surprise(bundled, answers(asked, probs), shards)
+    found = surprise(bundled, answers(asked, probs))
     return released(stored(heads.join(found, "row").select("head", "n", "nats"), "surprise"), bundled, asked, counted, probs)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -71,6 +72,43 @@ def test_perplexity_is_that_of_real_ngrams(spark, stored_docs, monkeypatch):
     assert out[6].perplexity < out[7].perplexity / 10
 
 
+def test_language_model_shuffles_no_text(spark, stored_docs, labels, monkeypatch):
+    plans, stored = [], ngram_model.stored
+
+    def seen(df, name):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return stored(df, name)
+
+    monkeypatch.setattr(ngram_model, "stored", seen)
+    language_model.perplexities(stored_docs(["the cat sat on the mat."] * 30), labels).collect()
+    moved = [line for plan in plans for line in re.findall(r"\) Exchange\n(Input.*)", plan)]
+    assert moved and not any("text#" in line or "data#" in line for line in moved)
+
+
+def test_units_ask_in_parts(spark, stored_docs, monkeypatch):
+    texts = ["the cat sat on the mat.", "", "кошка сидит тут", "the cat ran", None, "猫在这里𝒳 and the dog", "dog, and the cat", "x"] * 3
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 24, 2)], "doc_id long, quality int, toxic int")
+
+    def found():
+        rows = language_model.perplexities(stored_docs(texts), labels, language_model.Cut(least=1)).collect()
+        return {r.doc_id: (r.n_chars_scored, pytest.approx(r.perplexity, rel=1e-6)) for r in rows}
+
+    whole = found()
+    for name, value in (("BLOCK", 20), ("UNIT", 3), ("HELD", 10)):
+        monkeypatch.setattr(ngram_model, name, value)
+    assert found() == whole and len(whole) == 24
+
+
+def test_ngrams_are_taken_in_parts(monkeypatch):
+    texts = ["abcdefgh" * 3, "", "кошка", "\0\U0010ffff", "z"]
+    whole = [np.concatenate(c) for c in zip(*ngram_model.grams(texts))]
+    monkeypatch.setattr(ngram_model, "PART", 5)
+    parts = list(ngram_model.grams(texts))
+    assert max(len(high) for high, _, _ in parts) == 5
+    assert all((a == np.concatenate(b)).all() for a, b in zip(whole, zip(*parts)))
+    assert np.bincount(whole[2], minlength=5).tolist() == [len(t) for t in texts]
+
+
 def slow_rates(tokens, p, steps):
     rate = np.ones(len(tokens))
     for s in steps:
