@@ -32,7 +32,7 @@ BITS = 21
 CODE_POINTS = 0x110000
 BLOCK = 2_000_000
 UNIT = 16
-PART = 500_000
+PART = 250_000
 HELD = 1_000_000
 #: A shard answers about this many blocks' worth of n-grams.
 BLOCKS_A_SHARD = 20

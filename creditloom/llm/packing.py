@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +46,12 @@ class Limits:
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit integers; the library sees every distinct chunk once.
+    """Token ids of texts as little-endian 32-bit integers; the library sees a distinct chunk once while the memo has it.
 
     The vocabulary drops white space and never joins over it, so chunks between ASCII spaces encode alone.
     """
 
-    def __init__(self, path: str, memo_entries: int = 1_000_000):
+    def __init__(self, path: str, memo_entries: int = 600_000):
         self.library = Tokenizer.from_file(path)
         self.memo = Memo(memo_entries)
         vocab = self.library.get_vocab()
@@ -60,56 +61,76 @@ class Encoder:
         self.marker_id = vocab[self.marker]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        memo = self.memo
         for k in range(0, len(texts), 1000):
-            split = [self._chunks(t or "") for t in texts[k : k + 1000]]
-            new = {c for chunks in split for c in chunks if c not in memo}
-            if len(memo) + 2 * len(new) > memo.entries:
-                memo.clear()
-                new = {c for chunks in split for c in chunks}
-            self._learn([c.decode() for c in new])
-            for chunks in split:
-                yield b"".join([memo[c] for c in chunks])
+            folded = pa.array([self._folded(t or "") for t in texts[k : k + 1000]], pa.large_binary())
+            split = pc.ascii_split_whitespace(folded.cast(pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            known = self._known(coded.dictionary.cast(pa.large_binary()).to_pylist())
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            flat, starts, at = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+            lengths = sizes[at]
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            ids = flat[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+            borders = ends[split.offsets.to_numpy()].tolist()
+            for first, last in zip(borders, borders[1:]):
+                yield ids[first:last].tobytes()
+
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        memo = self.memo
+        found = list(map(memo.get, chunks))
+        lacking = [c for c, ids in zip(chunks, found) if ids is None]
+        memo.room(2 * len(lacking))
+        self._learn(lacking)
+        return [memo[c] if ids is None else ids for c, ids in zip(chunks, found)]
 
     @staticmethod
-    def _chunks(text: str) -> list[bytes]:
-        """Chunks between ASCII spaces. Lower case is the library's too, but special strings are as written."""
+    def _folded(text: str) -> bytes:
+        """What is split at ASCII spaces. Lower case is the library's too, but special strings are as written."""
         raw = text.encode()
         low = raw.lower()
-        return (raw if b"<|" in low else low).split()
+        return raw if b"<|" in low else low
 
-    def _learn(self, chunks: list[str], together: int = 200) -> None:
+    def _learn(self, chunks: list[bytes], together: int = 200) -> None:
         """Encode chunks, many in one text: words end in a token of their own kind, others are parted by a special token."""
-        marked = [c for c in chunks if c[-1] in ".,;:!?" and c[:-1].isalpha()]
-        words = {c for c in chunks if c.isalpha()} | {c[:-1] for c in marked if c[:-1].encode() not in self.memo}
-        others = [*set(chunks).difference(words, marked), *".,;:!?"]
+        memo, words, marked, others = self.memo, set(), [], [b".", b",", b";", b":", b"!", b"?"]
+        memo[b""] = b""
+        for chunk, text in zip(chunks, b"\n".join(chunks).decode().split("\n")):
+            if text.isalpha():
+                words.add(chunk)
+            elif text[-1:] in ".,;:!?" and text[:-1].isalpha():
+                marked.append(chunk)
+                if chunk[:-1] not in memo:
+                    words.add(chunk[:-1])
+            elif chunk:
+                others.append(chunk)
         words = list(words)
         for k in range(0, len(words), together):
             some = words[k : k + together]
-            ids = self._ids(" ".join(some))
+            ids = self._ids(b" ".join(some).decode())
             ends = np.flatnonzero(self.ends[ids]) + 1
             # Letters that lower-casing or composing turns into more than one word show in the number of ends.
             if len(ends) == len(some):
                 self._keep(some, ids, [0, *ends[:-1].tolist()], ends.tolist())
             else:
                 self._each(some)
+        marker = self.marker.encode()
         for k in range(0, len(others), together):
             some = others[k : k + together]
-            ids = self._ids(self.marker.join(some))
+            ids = self._ids(marker.join(some).decode())
             marks = np.flatnonzero(ids == self.marker_id)
             if len(marks) == len(some) - 1:
                 self._keep(some, ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
             else:
                 self._each(some)
-        memo = self.memo
-        memo.update((c.encode(), memo[c[:-1].encode()] + memo[c[-1].encode()]) for c in marked)
+        memo.update((c, memo[c[:-1]] + memo[c[-1:]]) for c in marked)
 
-    def _keep(self, chunks: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         raw = ids.tobytes()
-        self.memo.update((c.encode(), raw[4 * i : 4 * j]) for c, i, j in zip(chunks, starts, ends))
+        self.memo.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(chunks, starts, ends))
 
-    def _each(self, chunks: list[str]) -> None:
-        self.memo.update((c.encode(), self._ids(c).tobytes()) for c in chunks)
+    def _each(self, chunks: list[bytes]) -> None:
+        self.memo.update((c, self._ids(c.decode()).tobytes()) for c in chunks)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -241,7 +262,7 @@ def pack_documents(
             (doc_id, ids), start, tokens, loss = piece
             return doc_id, start, tokens, ids[4 * start : 4 * (start + tokens)], len(ids) // 4, loss, first + sequence, offset
 
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, max(1, whole.num_rows), 1000)):
             kind, placed = batch.schema.field(0).type, []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids += end

@@ -155,3 +155,35 @@ def test_sequences_that_end_at_the_segment_limit_need_no_padding(stored_docs):
     for p in packing.pack_documents(docs, packing.Limits(segments=5, window=16)).collect():
         lengths[p.sequence_id] += p.length
     assert all(n & (n - 1) == 0 for n in lengths.values())
+
+
+def test_chunks_are_looked_up_once_a_batch():
+    class Counting(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            Counting.looks += 1
+            return dict.get(self, key, default)
+
+        def __getitem__(self, key):
+            Counting.looks += 1
+            return dict.__getitem__(self, key)
+
+        def room(self, more=1):
+            pass
+
+        entries = 1_000_000
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    library, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    encoder.memo = Counting()
+    texts = [" the cat, sat\x1fon  THE mat!! " * 50, None, "", "<|endoftext|> x\x85y \u3000z"] * 25
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert Counting.looks < 100
+
+
+def test_a_full_memo_gives_the_same_ids():
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"word{k} other, same! Ünï{k % 3}, don't" for k in range(3000)]
+    assert list(packing.Encoder(path, memo_entries=50).encode(texts)) == list(packing.Encoder(path).encode(texts))
