@@ -18,28 +18,44 @@ from creditloom.llm.packing import packed_pieces
 from creditloom.llm.simhash import drop_near_duplicates
 
 
+#: Workers give large arrays back to the system when they free them: idle workers wait beside those of the next stage.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session, with settings that keep stages small beside each other in an executor. Settings it has stay."""
+    for key, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(key, value)
+    return spark
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity exceeds their language's limit go."""
+    lean(spark)
     return drop_poor(positioned(docs), read(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    lean(spark)
     return drop_exact_duplicates(positioned(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near fingerprints stays: four-word shingles, at most four bits."""
+    lean(spark)
     return drop_near_duplicates(positioned(docs), words=4, max_bits=4)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn at the rates that meet the domains' target weights."""
+    lean(spark)
     return mix(positioned(docs), read(spark, sf_dir, "labels"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4,096 tokens, one row per piece."""
+    lean(spark)
     return packed_pieces(docs)
 
 

@@ -318,6 +318,20 @@ def test_pipeline_keeps_whole_and_right_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_every_stage_has_workers_that_give_memory_back(spark, monkeypatch):
+    """Idle workers kept the memory of freed arrays beside the workers of the next stage."""
+    environment = spark.sparkContext.environment
+    for name in ("read", "positioned", "drop_poor", "drop_exact_duplicates", "drop_near_duplicates", "mix", "packed_pieces"):
+        monkeypatch.setattr(corpus_pipeline, name, lambda *of, **named: None)
+    for _, stage in corpus_pipeline.STAGES:
+        for key in corpus_pipeline.WORKERS:
+            monkeypatch.delitem(environment, key, raising=False)
+        stage(spark, None, "")
+        assert corpus_pipeline.WORKERS.items() <= environment.items()
+    monkeypatch.setitem(environment, "MALLOC_ARENA_MAX", "7")
+    assert corpus_pipeline.lean(spark).sparkContext.environment["MALLOC_ARENA_MAX"] == "7"
+
+
 def test_stages_go_when_their_result_is_stored(spark):
     from creditloom.llm.common import released, stored
 
