@@ -46,6 +46,14 @@ def _tables(users):
     return Tables(user=users, loan=users, click=users, order=users, loan_sum=users)
 
 
+def test_blend_fits_both_models_whole(users, monkeypatch):
+    """Three rounds each were fitted."""
+    asked = _noted(monkeypatch, "fit_assembled")
+    assert catalog.blended(_tables(users)).count() == 60
+    asked.sort(key=lambda s: s.columns)
+    assert len(asked) == 2 and _whole(asked[0], columns=0.75) and _whole(asked[1])
+
+
 def test_fold_predictions_fit_all_folds_whole(users, monkeypatch):
     """Three rounds each were fitted."""
     asked = _noted(monkeypatch, "fit_with_patience")
