@@ -59,3 +59,11 @@ def test_fold_predictions_fit_all_folds_whole(users, monkeypatch):
     asked = _noted(monkeypatch, "fit_with_patience")
     assert catalog.cv_predictions(_tables(users)).count() == 60
     assert len(asked) == 5 and all(map(_whole, asked))
+
+
+def test_two_model_report_fits_both_models_whole(users, monkeypatch):
+    """Three rounds each were fitted."""
+    asked = _noted(monkeypatch, "fit_regressor")
+    found = {r.model: r.n for r in catalog.two_model_report(_tables(users)).collect()}
+    assert found == {1: 6, 2: 6}
+    assert len(asked) == 2 and all(map(_whole, asked))
